@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, simhash
+from . import bpe, decontam, quality, simhash
 
 #: Folder of the public vocabulary files; a parameter of the installation.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -34,10 +34,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(read(spark, sf_dir, "documents"))
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_quality": op5_quality,
     "op8_simhash": op8_simhash,
+    "op9_decontam": op9_decontam,
 }
 
 ORACLE_SQL: dict[str, str] = {}
