@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_text, pii, quality, simhash, urls
+from . import bpe, decontam, html_text, pii, quality, shards, simhash, urls
 
 #: Folder of the public vocabulary files; a parameter of the installation.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -50,6 +50,10 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op8_simhash": op8_simhash,
     "op9_decontam": op9_decontam,
+    "op10_shards": op10_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
