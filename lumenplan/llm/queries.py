@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_text, pii, quality, shards, simhash, urls
+from . import bpe, decontam, html_text, pii, quality, shards, simhash, urls, vector_dedup
 
 #: Folder of the public vocabulary files; a parameter of the installation.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -42,6 +42,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.deduplicate(read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(read(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_html": op4_html,
     "op5_quality": op5_quality,
+    "op6_vectors": op6_vectors,
     "op8_simhash": op8_simhash,
     "op9_decontam": op9_decontam,
     "op10_shards": op10_shards,
