@@ -179,7 +179,7 @@ def _compare(pairs: DataFrame, threshold: float) -> DataFrame:
                     links = links | links.T
                 of_a = links @ b["weights"]
                 of_b = a["weights"] @ links if not same else np.zeros(len(b["ids"]), np.int64)
-                r, c = _trees(links)
+                r, c = _trees(links | np.eye(len(links), dtype=bool) if same else links)
                 ids = np.concatenate([a["ids"], b["ids"]])
                 root = np.concatenate([r, c])
                 count = np.concatenate([of_a, of_b])
