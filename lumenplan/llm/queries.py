@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_text, pii, quality, shards, simhash, urls, vector_dedup
+from . import bpe, decontam, html_text, pii, quality, shards, simhash, token_files, urls, vector_dedup
 
 #: Folder of the public vocabulary files; a parameter of the installation.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -46,6 +46,10 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.deduplicate(read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(read(spark, sf_dir, "documents"), vocabulary_path(), end_id=2)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(read(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_quality": op5_quality,
     "op6_vectors": op6_vectors,
+    "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
     "op9_decontam": op9_decontam,
     "op10_shards": op10_shards,
