@@ -61,12 +61,13 @@ def _grams(host: str, path: str) -> Column:
 
 def _witten_bell(level: DataFrame, shorter: DataFrame | None, order: int) -> DataFrame:
     """Probabilities of both models at one order, from counts ``(gram, a, b)`` and the shorter grams' probabilities."""
-    context = F.substring("gram", 1, order - 1) if order > 1 else F.lit("")
-    rows = level.withColumn("context", context)
-    totals = rows.groupBy("context").agg(
-        *[f(n).alias(n + s) for n in ("a", "b") for f, s in ((F.sum, "n"), (lambda c: F.count_if(F.col(c) > 0), "t"))]
-    )
-    rows = rows.join(totals, "context")
+    sums = [f(n).alias(n + s) for n in ("a", "b") for f, s in ((F.sum, "n"), (lambda c: F.count_if(F.col(c) > 0), "t"))]
+    if order > 1:
+        rows = level.withColumn("context", F.substring("gram", 1, order - 1))
+        rows = rows.join(rows.groupBy("context").agg(*sums), "context")
+    else:
+        total = level.agg(*sums).first()
+        rows = level.withColumns({k: F.lit(v or 0) for k, v in total.asDict().items()})
     if shorter is None:
         rows = rows.withColumn("qa", F.lit(1.0 / ALPHABET)).withColumn("qb", F.lit(1.0 / ALPHABET))
     else:
