@@ -54,3 +54,8 @@ def finite(x) -> Column:
 def doubles(*names: str) -> T.StructType:
     """A struct of doubles, for functions that return several numbers."""
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+def let(value, use) -> Column:
+    """``use(v)`` with ``value`` computed once; for expressions inside higher-order functions, where nothing is shared."""
+    return F.get(F.transform(F.array(col(value)), use), F.lit(0))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .angles import asind, col, cosd, doubles, finite, sind, tand, wrap360
+from .angles import asind, col, cosd, doubles, finite, let, sind, tand, wrap360
 
 AU_KM = 149597870.7
 SUN_RADIUS_KM, MOON_RADIUS_KM = 695700.0, 1737.4
@@ -69,6 +69,42 @@ def sun_horizon(instant, lat, lon) -> Column:
     return to_horizon(s["ra"], s["dec"], d, lat, lon)
 
 
+def add_sun(df: DataFrame, instant: str = "instant", lat: str = "lat", lon: str = "lon", azimuth: str = "azimuth", altitude: str = "altitude") -> DataFrame:
+    """The rows with the Sun's geometric azimuth and altitude, in steps that share their parts."""
+    days = df.withColumn("_n", days_since_j2000(instant))
+    anomaly = days.withColumn("_g", wrap360(F.lit(357.528) + F.lit(0.9856003) * F.col("_n"))).withColumn("_t", F.lit(23.439) - F.lit(0.0000004) * F.col("_n"))
+    longitude = anomaly.withColumn("_l", wrap360(F.lit(280.460) + F.lit(0.9856474) * F.col("_n") + F.lit(1.915) * sind("_g") + F.lit(0.020) * sind(F.col("_g") * 2)))
+    placed = longitude.withColumn("_a", wrap360(F.degrees(F.atan2(cosd("_t") * sind("_l"), cosd("_l"))))).withColumn("_d", asind(sind("_t") * sind("_l")))
+    turned = placed.withColumn("_h", sidereal_degrees("_n", F.col(lon)) - F.col("_a"))
+    up = asind(sind(lat) * sind("_d") + cosd(lat) * cosd("_d") * cosd("_h"))
+    around = wrap360(F.degrees(F.atan2(-cosd("_d") * sind("_h"), sind("_d") * cosd(lat) - cosd("_d") * cosd("_h") * sind(lat))))
+    return turned.withColumn(azimuth, around).withColumn(altitude, up).drop("_n", "_g", "_t", "_l", "_a", "_d", "_h")
+
+
+def sun_horizon_shared(micros: Column, lat, lon) -> Column:
+    """As ``sun_horizon`` for an instant in microseconds inside a higher-order function."""
+
+    def at(n: Column) -> Column:
+        g = wrap360(F.lit(357.528) + F.lit(0.9856003) * n)
+        longitude = lambda g: wrap360(F.lit(280.460) + F.lit(0.9856474) * n + F.lit(1.915) * sind(g) + F.lit(0.020) * sind(g * 2))
+        tilt = F.lit(23.439) - F.lit(0.0000004) * n
+        place = lambda x: F.struct(
+            wrap360(F.degrees(F.atan2(cosd(tilt) * sind(x), cosd(x)))).alias("ra"), asind(sind(tilt) * sind(x)).alias("dec")
+        )
+        hour = lambda p: F.struct((sidereal_degrees(n, lon) - p["ra"]).alias("h"), p["dec"].alias("d"))
+
+        def horizon(q: Column) -> Column:
+            h, d = q["h"], q["d"]
+            return F.struct(
+                wrap360(F.degrees(F.atan2(-cosd(d) * sind(h), sind(d) * cosd(lat) - cosd(d) * cosd(h) * sind(lat)))).alias("azimuth"),
+                asind(sind(lat) * sind(d) + cosd(lat) * cosd(d) * cosd(h)).alias("altitude"),
+            )
+
+        return let(let(let(let(g, longitude), place), hour), horizon)
+
+    return let((micros / F.lit(1e6) - F.lit(946728000.0)) / F.lit(86400.0), at)
+
+
 def star_horizon(instant, lat, lon, star=GALACTIC_CENTRE) -> Column:
     d = days_since_j2000(instant)
     s = star_equatorial(d, *star)
@@ -126,6 +162,18 @@ def band_half_width(longitude) -> Column:
     return F.lit(7.0) + F.lit(8.0) * F.exp(-F.pow(away / 38, F.lit(2.0)))
 
 
+def sun_series(days: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Azimuth and altitude of the Sun in numpy, by the same series as the columns."""
+    wrap = lambda v: np.mod(v, 360.0)
+    g = np.radians(wrap(357.528 + 0.9856003 * days))
+    x = np.radians(wrap(280.460 + 0.9856474 * days + 1.915 * np.sin(g) + 0.020 * np.sin(2 * g)))
+    tilt, phi = np.radians(23.439 - 0.0000004 * days), np.radians(lat)
+    ra, dec = np.degrees(np.arctan2(np.cos(tilt) * np.sin(x), np.cos(x))), np.arcsin(np.sin(tilt) * np.sin(x))
+    h = np.radians(wrap(280.46061837 + 360.98564736629 * days + lon) - wrap(ra))
+    azimuth = np.degrees(np.arctan2(-np.cos(dec) * np.sin(h), np.sin(dec) * np.cos(phi) - np.cos(dec) * np.cos(h) * np.sin(phi)))
+    return wrap(azimuth), np.degrees(np.arcsin(np.clip(np.sin(phi) * np.sin(dec) + np.cos(phi) * np.cos(dec) * np.cos(h), -1, 1)))
+
+
 PHASES = ("new", "waxing crescent", "first quarter", "waxing gibbous", "full", "waning gibbous", "last quarter", "waning crescent")
 
 

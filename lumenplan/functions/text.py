@@ -56,9 +56,7 @@ def decode_link(url) -> Column:
     t = col(url)
     for a, b in (("&amp;", "&"), ("&#38;", "&"), ("&#x26;", "&"), ("&quot;", '"'), ("\\u002f", "/"), ("\\u003a", ":"), ("\\u003d", "="), ("\\u0026", "&"), ("\\u002c", ","), ("\\/", "/")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    for _ in range(4):
-        t = F.coalesce(F.try_url_decode(t), t)
-    return t
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), t, lambda s, _: F.coalesce(F.try_url_decode(s), s))
 
 
 def link_host(url) -> Column:
@@ -69,9 +67,9 @@ def is_map_link(url) -> Column:
     return link_host(url).rlike(HOSTS)
 
 
-def link_place(url) -> Column:
-    """Latitude and longitude of a map link by the first pattern that fits; null if none does."""
-    t = decode_link(url)
+def decoded_place(link) -> Column:
+    """Latitude and longitude of a decoded map link by the first pattern that fits; null if none does."""
+    t = col(link)
     found = []
     for p in COORDINATES:
         lat, lon = (F.nullif(F.regexp_extract(t, p, k), F.lit("")).cast("double") for k in (1, 2))
@@ -79,9 +77,9 @@ def link_place(url) -> Column:
     return F.coalesce(*found)
 
 
-def link_ids(url) -> Column:
-    """Place id, feature id and its decimal customer id, and the place name in a map link."""
-    t = decode_link(url)
+def link_ids(link) -> Column:
+    """Place id, feature id and its decimal customer id, and the place name in a decoded map link."""
+    t = col(link)
     none = lambda c: F.nullif(c, F.lit(""))
     feature = none(F.regexp_extract(t, r"(0x[0-9a-fA-F]+:0x[0-9a-fA-F]+)", 1))
     return F.struct(

@@ -14,10 +14,13 @@ BODIES = ("sun", "moon", "milkyWay", "polaris")
 
 def body_positions(rows: DataFrame, mode: str = "standard") -> DataFrame:
     """Four rows per row (instant, lat, lon): body, azimuth, altitude, diameter (null for stars), distance."""
-    d = sky.days_since_j2000("instant")
     null = F.lit(None).cast("double")
-    placed = rows.withColumn("_m", sky.moon_horizon("instant", "lat", "lon")).withColumn("_s", sky.sun_equatorial(d))
-    sun, centre, pole = sky.sun_horizon("instant", "lat", "lon"), sky.star_horizon("instant", "lat", "lon"), sky.star_horizon("instant", "lat", "lon", sky.POLARIS)
+    placed = rows.withColumn("_d", sky.days_since_j2000("instant")).withColumn("_m", sky.moon_horizon("instant", "lat", "lon")).withColumn("_s", sky.sun_equatorial("_d"))
+    for name, star in (("_c", sky.GALACTIC_CENTRE), ("_p", sky.POLARIS)):
+        placed = placed.withColumn(name, sky.star_equatorial("_d", *star))
+    horizon = lambda q: sky.to_horizon(F.col(f"{q}.ra"), F.col(f"{q}.dec"), "_d", "lat", "lon")
+    placed = placed.withColumns({"_hs": horizon("_s"), "_hc": horizon("_c"), "_hp": horizon("_p")})
+    sun, centre, pole = F.col("_hs"), F.col("_hc"), F.col("_hp")
     one = lambda name, h, diameter, km: F.struct(F.lit(name).alias("body"), h["azimuth"].alias("azimuth"), sky.apparent_altitude(h["altitude"], mode).alias("altitude"), diameter.alias("diameter"), km.alias("km"))
     every = F.array(
         one("sun", sun, optics.angular_diameter(F.lit(sky.SUN_RADIUS_KM), F.col("_s.km")), F.col("_s.km")),
@@ -56,12 +59,12 @@ def visible_segments(track: DataFrame, keys: list[str], least_altitude: float =
 
 def milky_way_path(rows: DataFrame, azimuth: Column, altitude: Column, h_fov: Column, v_fov: Column, step: int = 5) -> DataFrame:
     """The band every ``step`` degrees of galactic longitude for rows (key, instant, lat, lon): middle and edges on the screen."""
-    at = rows.withColumn("longitude", F.explode(F.sequence(F.lit(0), F.lit(360), F.lit(max(5, step)))).cast("double"))
+    at = rows.withColumn("longitude", F.explode(F.transform(F.sequence(F.lit(0), F.lit(360), F.lit(max(5, step))), lambda v: v.cast("double"))))
     half = sky.band_half_width(F.col("longitude"))
     edges = F.array(*[F.struct(F.lit(n).alias("part"), b.alias("latitude")) for n, b in (("centre", F.lit(0.0)), ("upper", half), ("lower", -half))])
     at = at.withColumn("_e", F.explode(edges)).select("*", "_e.part", "_e.latitude").drop("_e")
     at = at.withColumn("_q", sky.galactic_equatorial("longitude", "latitude"))
-    at = at.withColumn("_h", sky.to_horizon(F.col("_q.ra"), F.col("_q.dec"), sky.days_since_j2000("instant"), F.col("lat"), F.col("lon")))
+    at = at.withColumn("_n", sky.days_since_j2000("instant")).withColumn("_h", sky.to_horizon(F.col("_q.ra"), F.col("_q.dec"), "_n", F.col("lat"), F.col("lon")))
     at = at.withColumn("_p", optics.project(optics.direction(F.col("_h.azimuth"), F.col("_h.altitude")), optics.camera(azimuth, altitude), h_fov, v_fov))
     near = F.col("_p.x").between(-15, 115) & F.col("_p.y").between(-15, 115)
     return at.groupBy("key", "longitude").agg(

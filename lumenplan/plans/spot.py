@@ -34,15 +34,19 @@ def calendar(rows: DataFrame, zone: str, weekdays: list[int], first: Column, las
 
 def sun_samples(rows: DataFrame, timing: str = "all", mode: str = "standard") -> DataFrame:
     """Rows (instant, lat, lon) with the Sun between 0.25 and 45 degrees; for sunrise and sunset low and next to night."""
-    at = lambda minutes: sky.apparent_altitude(sky.sun_horizon(F.timestamp_micros(F.unix_micros("instant") + F.lit(minutes * 60_000_000)), "lat", "lon")["altitude"], mode)
-    placed = rows.withColumn("_h", sky.sun_horizon("instant", "lat", "lon")).withColumn("azimuth", F.col("_h.azimuth")).withColumn("altitude", sky.apparent_altitude(F.col("_h.altitude"), mode)).drop("_h")
+    placed = sky.add_sun(rows)
+    placed = placed.withColumn("altitude", sky.apparent_altitude(F.col("altitude"), mode))
     out = placed.where((F.col("altitude") > 0.25) & (F.col("altitude") < 45))
     if timing == "all":
         return out
-    rising = at(10) > F.col("altitude")
-    night = F.when(rising, at(-360)).otherwise(at(360)) <= 0.25
-    out = out.where((F.col("altitude") < 12) & night)
-    return out if timing == "both" else out.where(rising if timing == "sunrise" else ~rising)
+    out = out.where(F.col("altitude") < 12)
+    shifted = lambda df, minutes, name: sky.add_sun(
+        df.withColumn("_then", F.timestamp_micros(F.unix_micros("instant") + minutes * F.lit(60_000_000))), "_then", azimuth="_az", altitude=name
+    ).withColumn(name, sky.apparent_altitude(F.col(name), mode)).drop("_then", "_az")
+    out = shifted(out, F.lit(10), "_soon").withColumn("rising", F.col("_soon") > F.col("altitude"))
+    out = shifted(out, F.when(F.col("rising"), -360).otherwise(360), "_far").where(F.col("_far") <= 0.25)
+    out = out if timing == "both" else out.where(F.col("rising") if timing == "sunrise" else ~F.col("rising"))
+    return out.drop("_soon", "_far", "rising")
 
 
 def moon_samples(rows: DataFrame, least_age: float = 0.0, most_age: float = sky.SYNODIC_DAYS, mode: str = "standard") -> DataFrame:
@@ -56,7 +60,7 @@ def moon_samples(rows: DataFrame, least_age: float = 0.0, most_age: float = sky.
 def milky_way_samples(rows: DataFrame, mode: str = "standard") -> DataFrame:
     """Rows with the galactic centre between 8 and 55 degrees, the Sun at most at -12, and no bright Moon up."""
     placed = rows.withColumn("_h", sky.star_horizon("instant", "lat", "lon")).withColumn("azimuth", F.col("_h.azimuth")).withColumn("altitude", sky.apparent_altitude(F.col("_h.altitude"), mode)).drop("_h")
-    dark = placed.where(F.col("altitude").between(8, 55)).where(sky.sun_horizon("instant", "lat", "lon")["altitude"] <= -12)
+    dark = sky.add_sun(placed.where(F.col("altitude").between(8, 55)), azimuth="_az", altitude="_sun").where("_sun <= -12").drop("_az", "_sun")
     with_moon = dark.withColumn("_m", sky.moon_horizon("instant", "lat", "lon"))
     return with_moon.where(~((F.col("_m.altitude") > 0) & (F.col("_m.fraction") > 0.35))).drop("_m")
 

@@ -16,12 +16,12 @@ SCAN_MINUTES, SHOOT_MINUTES, BISECTIONS = 2, 5, 18
 
 def sun_rise_and_set(rows: DataFrame, zone: str) -> DataFrame:
     """First rise and set of the Sun per local day of rows (key, instant, lat, lon), refined to a second."""
-    placed = rows.withColumn("altitude", sky.sun_horizon("instant", "lat", "lon")["altitude"]).withColumn("day", local_date("instant", zone))
+    placed = sky.add_sun(rows).withColumn("day", local_date("instant", zone))
     found = rise_and_set(placed, ["key", "lat", "lon", "day"], "instant", "altitude")
 
     def exact(c: str) -> Column:
         t = F.unix_micros(c)
-        value = lambda m: sky.sun_horizon(F.timestamp_micros(m), F.col("lat"), F.col("lon"))["altitude"]
+        value = lambda m: sky.sun_horizon_shared(m, F.col("lat"), F.col("lon"))["altitude"]
         return F.when(F.col(c).isNotNull(), F.timestamp_micros(bisect(F.coalesce(t, F.lit(0)) - SCAN_MINUTES * 60_000_000, F.coalesce(t, F.lit(0)), value, BISECTIONS)))
 
     return found.select("key", "day", exact("rise").alias("rise"), exact("set").alias("set"))

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import optics, sky
-from ..functions.angles import signed_difference
+from ..functions.angles import let, signed_difference
 from ..functions.zoned import in_time_range, minute_of_day, on_weekdays, weekday
 from ..operators.sampling import CROSSING_STEP, instants
 from ..operators.windows import closest_in_island, sign_changes
@@ -21,24 +22,21 @@ BISECTIONS, TERNARY = 20, 32
 def bisect(low: Column, high: Column, value: Callable[[Column], Column], steps: int = BISECTIONS) -> Column:
     """The end (microseconds) of the last half interval in which ``value`` changes its sign, to one second."""
 
-    def step(s: Column, _: Column) -> Column:
-        middle = F.floor((s["a"] + s["b"]) / 2).cast("long")
-        v = value(middle)
-        same = F.signum(v) == F.signum(s["fa"])
-        go = s["b"] - s["a"] > F.lit(1_000_000)
-        return F.struct(
-            F.when(go & same, middle).otherwise(s["a"]).alias("a"), F.when(go & ~same, middle).otherwise(s["b"]).alias("b"),
-            F.when(go & same, v).otherwise(s["fa"]).alias("fa"),
-        )
+    def halve(s: Column, m: Column) -> Column:
+        def keep(v: Column) -> Column:
+            same = F.signum(v) == F.signum(s["fa"])
+            go = s["b"] - s["a"] > F.lit(1_000_000)
+            return F.struct(
+                F.when(go & same, m).otherwise(s["a"]).alias("a"), F.when(go & ~same, m).otherwise(s["b"]).alias("b"), F.when(go & same, v).otherwise(s["fa"]).alias("fa")
+            )
+
+        return let(value(m), keep)
 
+    step = lambda s, _: let(F.floor((s["a"] + s["b"]) / 2).cast("long"), lambda m: halve(s, m))
     start = F.struct(low.cast("long").alias("a"), high.cast("long").alias("b"), value(low).alias("fa"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["b"])
 
 
-def sun_azimuth_error(lat, lon, target) -> Callable[[Column], Column]:
-    return lambda t: signed_difference(sky.sun_horizon(F.timestamp_micros(t), lat, lon)["azimuth"], target)
-
-
 def direction_crossings(searches: DataFrame, zone: str, weekdays: list[int], first: Column, last: Column, mode: str = "standard") -> DataFrame:
     """Instants at which the Sun stands exactly over the subject's bearing.
 
@@ -47,13 +45,13 @@ def direction_crossings(searches: DataFrame, zone: str, weekdays: list[int], fir
     """
     rows = instants(searches, "start", "end", CROSSING_STEP)
     rows = rows.where(on_weekdays(weekday(F.col("instant"), zone), weekdays) & in_time_range(minute_of_day(F.col("instant"), zone), first, last))
-    rows = rows.withColumn("error", signed_difference(sky.sun_horizon("instant", "lat", "lon")["azimuth"], F.col("bearing")))
+    rows = sky.add_sun(rows).withColumn("error", signed_difference(F.col("azimuth"), F.col("bearing"))).select(*searches.columns, "instant", "error")
     found = sign_changes(rows, ["id"], "instant", "error")
     found = found.where(F.unix_micros("instant") - F.unix_micros("previous_instant") <= CROSSING_STEP)
-    exact = bisect(F.unix_micros("previous_instant"), F.unix_micros("instant"), sun_azimuth_error(F.col("lat"), F.col("lon"), F.col("bearing")))
-    placed = found.withColumn("instant", F.timestamp_micros(exact)).withColumn("_h", sky.sun_horizon("instant", "lat", "lon"))
-    altitude = sky.apparent_altitude(F.col("_h.altitude"), mode)
-    out = placed.select("id", "instant", F.col("_h.azimuth").alias("azimuth"), altitude.alias("altitude"), "subject_elevation")
+    edges = found.withColumn("_low", F.unix_micros("previous_instant")).withColumn("_high", F.unix_micros("instant"))
+    exact = refine_roots(edges.select(*searches.columns, "_low", "_high"), "_low", "_high", _azimuth_error, BISECTIONS)
+    placed = sky.add_sun(exact)
+    out = placed.select("id", "instant", "azimuth", sky.apparent_altitude(F.col("altitude"), mode).alias("altitude"), "subject_elevation")
     return out.where((F.col("altitude") > 0.25) & (F.col("altitude") >= F.col("subject_elevation")))
 
 
@@ -72,22 +70,28 @@ def in_frame(searches: DataFrame, positions: DataFrame, h_fov: str, v_fov: str)
     return closest_in_island(rows, ["id"], "instant", inside, "away")
 
 
-def refine_roots(df: DataFrame, low: str, high: str, value: Callable[[pd.DataFrame, np.ndarray], np.ndarray], out: str = "instant", steps: int = 24) -> DataFrame:
-    """Bisection of many rows at once by an Arrow function, for values that have no column form (the Moon)."""
-    schema = df.schema.add(out, "timestamp")
+def _azimuth_error(rows: pd.DataFrame, micros: np.ndarray) -> np.ndarray:
+    azimuth, _ = sky.sun_series((micros / 1e6 - 946728000.0) / 86400.0, rows.lat.to_numpy(float), rows.lon.to_numpy(float))
+    return (azimuth - rows.bearing.to_numpy(float) + 540) % 360 - 180
+
+
+def refine_roots(df: DataFrame, low: str, high: str, value: Callable[[pd.DataFrame, np.ndarray], np.ndarray], steps: int = 24, out: str = "instant") -> DataFrame:
+    """Bisection of many rows at once by an Arrow function, to one second.
+
+    ``low`` and ``high`` are microseconds; ``value`` takes rows and microseconds.  For values that are
+    long as columns, or have no column form (the Moon).
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.TimestampType())])
 
     def run(batches):
         for pdf in batches:
-            a, b = (pdf[c].astype("int64").to_numpy() for c in (low, high))
-            if str(pdf[low].dtype).endswith("[ns]") or "[ns," in str(pdf[low].dtype):
-                a, b = a // 1000, b // 1000
+            a, b = pdf[low].to_numpy(np.int64), pdf[high].to_numpy(np.int64)
             fa = value(pdf, a)
             for _ in range(steps):
                 middle = (a + b) // 2
                 v = value(pdf, middle)
-                same = np.sign(v) == np.sign(fa)
-                a, b = np.where(same, middle, a), np.where(same, b, middle)
-                fa = np.where(same, v, fa)
+                go, same = b - a > 1_000_000, np.sign(v) == np.sign(fa)
+                a, b, fa = np.where(go & same, middle, a), np.where(go & ~same, middle, b), np.where(go & same, v, fa)
             yield pdf.assign(**{out: pd.to_datetime(b, unit="us", utc=True)})
 
     return df.mapInPandas(run, schema)
@@ -97,10 +101,12 @@ def ternary(low: Column, high: Column, value: Callable[[Column], Column], steps:
     """The instant (microseconds) of the least value; of equal thirds the upper end moves."""
 
     def step(s: Column, _: Column) -> Column:
-        third = F.floor((s["b"] - s["a"]) / 3).cast("long")
-        x, y = s["a"] + third, s["b"] - third
-        left = value(x) <= value(y)
-        return F.struct(F.when(left, s["a"]).otherwise(x).alias("a"), F.when(left, y).otherwise(s["b"]).alias("b"))
+        def thirds(t: Column) -> Column:
+            x, y = s["a"] + t, s["b"] - t
+            choose = lambda left: F.struct(F.when(left, s["a"]).otherwise(x).alias("a"), F.when(left, y).otherwise(s["b"]).alias("b"))
+            return let(value(x) <= value(y), choose)
+
+        return let(F.floor((s["b"] - s["a"]) / 3).cast("long"), thirds)
 
     start = F.struct(low.cast("long").alias("a"), high.cast("long").alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: F.floor((s["a"] + s["b"]) / 2).cast("long"))
