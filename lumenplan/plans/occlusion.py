@@ -9,6 +9,7 @@ from ..functions.earth import apparent_elevation, elevation_and_range, elevation
 from ..functions.geodesic import geodesic_direct
 from ..functions.policy import occlusion
 from ..operators.joins import higher_of
+from ..operators.lineage import cut
 from ..operators.sampling import disc_edge, log_distances, refined_distances
 from ..sources.dem import Sampler, detail_for
 
@@ -44,7 +45,7 @@ def terrain_horizon(rays: DataFrame, sampler: Sampler, mode: str = "standard", f
     The fine result counts only if it is strictly higher.
     """
     distances = log_distances(F.lit(8.0), F.lit(farthest), coarse)
-    first = highest(_elevations(profile(rays, distances), sampler, mode), ["key"])
+    first = cut(highest(_elevations(profile(rays, distances), sampler, mode), ["key"]))
     around = rays.join(first.select("key", F.col("idx").alias("at")).where("at is not null"), "key")
     second = highest(_elevations(profile(around, refined_distances(distances, F.col("at"), refined)).drop("at"), sampler, mode), ["key"])
     both = first.join(second.select("key", F.col("elevation").alias("fine"), F.col("distance").alias("fine_distance")), "key", "left")

@@ -12,6 +12,7 @@ from ..functions.angles import signed_difference
 from ..functions.earth import apparent_elevation, elevation_and_range
 from ..functions.geodesic import geodesic_direct, geodesic_inverse
 from ..functions.zoned import in_time_range, minute_of_day, on_weekdays, weekday
+from ..operators.lineage import cut
 from ..operators.ranking import best_within, first_per_key
 from ..operators.sampling import composition_offsets, log_distances, ring
 from ..operators.windows import first_bracket
@@ -83,7 +84,7 @@ def distance_roots(targets: DataFrame, sampler: Sampler, low: float, high: float
     into sections over finer terrain.  The best point seen is kept where nothing brackets.
     """
     samples, passes, sections = PROFILES[profile]
-    scan = _errors(targets.withColumn("distance", F.explode(log_distances(F.lit(low), F.lit(high), samples))), sampler, "10m", mode)
+    scan = cut(_errors(targets.withColumn("distance", F.explode(log_distances(F.lit(low), F.lit(high), samples))), sampler, "10m", mode))
     finite = lambda df: df.where(F.col("error").isNotNull() & ~F.isnan("error"))
     columns = ["key", "lat", "lon", "height", "distance", "error"]
     seen = finite(scan).select(*columns)
@@ -91,7 +92,7 @@ def distance_roots(targets: DataFrame, sampler: Sampler, low: float, high: float
     for _ in range(passes):
         step = (F.col("b") - F.col("a")) / sections
         cuts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(sections)), lambda k: F.col("a") + step * k))
-        fine = _errors(targets.join(bracket, "key").withColumn("distance", cuts).drop("a", "b"), sampler, "1m", mode)
+        fine = cut(_errors(targets.join(bracket, "key").withColumn("distance", cuts).drop("a", "b"), sampler, "1m", mode))
         seen = seen.unionByName(finite(fine).select(*columns))
         bracket = first_bracket(fine, ["key"], "distance", "error").select("key", F.col("previous_distance").alias("a"), F.col("distance").alias("b"))
     return first_per_key(seen, ["key"], [F.abs(F.col("error")), F.col("distance")])
@@ -106,7 +107,7 @@ def candidates(points: DataFrame, placer: Placer, sampler: Sampler, low: float,
     now = points.withColumn("back", F.pmod(F.col("azimuth") + 180, F.lit(360.0)))
     for _ in range(rounds):
         solved = distance_roots(now, sampler, low, high, profile, mode).select("key", "lat", "lon", "height", "distance", "error")
-        again = placer(points.drop("azimuth", "altitude").join(solved, "key").withColumn("height", F.col("height") + F.col("lens")))
+        again = cut(placer(points.drop("azimuth", "altitude").join(solved, "key").withColumn("height", F.col("height") + F.col("lens"))))
         now = again.withColumn("height", F.col("height") - F.col("lens")).withColumn("back", F.pmod(F.col("azimuth") + 180, F.lit(360.0)))
         last = now
         now = now.drop("lat", "lon", "height", "distance", "error")
