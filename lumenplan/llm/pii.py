@@ -23,7 +23,7 @@ EMAIL, IP, CARD, PHONE = range(4)
 # inside a run of the first class would begin at the run's start or at the end of the match before.
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]"
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 @dataclass(frozen=True)

@@ -93,7 +93,7 @@ def test_pii(spark, documents, edge):
         expected = sorted(hashlib.sha256(",".join(plain_base(t)).encode()).hexdigest() for _, t in texts)
         rows = pii.report(df).collect()
         assert sorted(r.base_sha256 for r in rows) == expected
-    tricky = ["a@b.cd_e@f.gh", "x" * 5000 + "@", "1.2.3.4.5.6.7.8", "1 " * 9000, "+1+1+1234567890", "a@b.c.", "٣@x.y", "0012.1.2.3 256.1.1.1"]
+    tricky = ["a@b.cd_e@f.gh", "x" * 5000 + "@", "1.2.3.4.5.6.7.8", "1 " * 9000, "+1+1+1234567890", "a@b.c.", "٣@x.y", "0012.1.2.3 256.1.1.1", "10.0.0.1 000.00.0.255 0.0.0.256"]
     df = spark.createDataFrame(list(enumerate(tricky)), "doc_id long, text string")
     for r in pii.report(df).collect():
         assert r.base_sha256 == hashlib.sha256(",".join(plain_base(tricky[r.doc_id])).encode()).hexdigest()
