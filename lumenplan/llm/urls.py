@@ -128,12 +128,14 @@ def calibrate(scored: DataFrame) -> float:
     if not (allowed and blocked):
         return float("-inf")
     best, threshold, lost, caught = 1.0, float("-inf"), 0, 0
-    for part in sorted({r.part for r in held}):
+    parts = sorted({r.part for r in held})
+    for part, following in zip(parts, [*parts[1:], None], strict=True):
         lost += sum(r[ALLOW] for r in held if r.part == part)
         caught += sum(r[BLOCK] for r in held if r.part == part)
         error = lost / allowed + (blocked - caught) / blocked
         if error < best - 1e-12:
-            best, threshold = error, (part + 1) / CLASSES
+            # in the middle of the gap before the next class with rows
+            best, threshold = error, (part + 1 + (part + 1 if following is None else following)) / 2 / CLASSES
     return threshold
 
 
