@@ -30,7 +30,7 @@ def normal(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
-    assert len(got)
+    assert len(got) or name in ORACLE_SQL
     if name in ORACLE_SQL:
         expected = duck.execute(ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(expected.columns)
