@@ -27,11 +27,13 @@ from . import scratch
 from .bpe import CACHED_CHARS, LONG_TEXT, read_vocabulary, text_batches
 
 #: Ids from which a block is closed, lanes of a large block, and steps between checkpoints.
-BLOCK_IDS, LANES, CHECKPOINT = 1 << 19, 1024, 256
+BLOCK_IDS, LANES, CHECKPOINT = 1 << 19, 2048, 128
 #: Bits of the scaled frequencies, and the least state.
 BITS, LOW = 20, np.uint64(1 << 31)
-#: Pieces that a worker remembers in each of two generations; it only saves time.
-CACHED_PIECES = 350_000
+#: Pieces that a worker remembers, and misses after which it begins anew (the texts have changed); it only saves time.
+CACHED_PIECES, STALE = 650_000, 3_000_000
+#: Signs that end a word of letters without being joined to it in any token.
+SIGNS = ",.;:!?*&%$#"
 #: Characters that the library encodes at a time.
 JOINED = 1 << 15
 
@@ -58,8 +60,9 @@ class LibraryEncoder:
         self.bytes_of = np.array([special.get(i) or len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.borders = re.compile(r"(?<=\S) (?=\S)")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.misses = 0
+        self.signs: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,46 +93,81 @@ class LibraryEncoder:
                 a = b
         return out
 
+    def _with_signs(self, piece: str) -> bytes | None:
+        """Ids of a remembered word of letters and the signs after it, which always begin a token of their own."""
+        word = piece.rstrip(SIGNS)
+        if len(word) == len(piece) or not word.isalpha():
+            return None
+        ids = self.known.get(word)
+        if ids is None:
+            return None
+        signs = piece[len(word) :]
+        end = self.signs.get(signs)
+        if end is None:
+            (end,) = self._whole([signs])
+            if len(self.signs) < 10_000:
+                self.signs[signs] = end
+        return ids + end
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts, as bytes of ``kind``; null and empty texts have none."""
-        young, old = self.young, self.old
+        known = self.known
         rows: list[list] = []
         heads: list[str] = []
         missing: dict[str, bytes] = {}
+        gaps: list[tuple[int, int, str]] = []
         for text in texts:
             if not text:
                 rows.append([])
                 heads.append("")
                 continue
             pieces = text.split(" ") if len(text) <= LONG_TEXT else self.borders.split(text)
-            found = list(map(young.get, pieces))
-            again = False
-            for k in [k for k, ids in enumerate(found) if ids is None] if None in found[1:] else ():
-                if not k:
-                    continue
-                p = pieces[k]
-                ids = old.get(p)
-                if ids is not None:
-                    young[p] = found[k] = ids
-                elif not p or p[0].isspace() or p[-1].isspace():
-                    again = True
+            again = not pieces[0] or pieces[0][-1].isspace()
+            while True:
+                heads.append(pieces.pop(0))
+                found = list(map(known.get, pieces))
+                row, k = len(rows), -1
+                # the few pieces that aren't remembered leave gaps, which are filled when all are known
+                for _ in range(found.count(None)):
+                    k = found.index(None, k + 1)
+                    p = pieces[k]
+                    ids = self._with_signs(p)
+                    if ids is not None:
+                        found[k] = ids
+                    elif not again and (not p or p[0].isspace() or p[-1].isspace()):
+                        again = True
+                        break
+                    else:
+                        missing[p] = b""
+                        gaps.append((row, k, p))
+                        found[k] = b""
+                if not again:
                     break
-                else:
-                    missing[p] = b""
-                    found[k] = p
-            if again or pieces[0][-1:].isspace() or not pieces[0]:
+                while gaps and gaps[-1][0] == row:
+                    gaps.pop()
+                heads.pop()
                 pieces = self.borders.split(text)
-                found = [young.get(p) or old.get(p) or p for p in pieces]
-                missing.update((p, b"") for p in found[1:] if isinstance(p, str))
-            heads.append(pieces[0])
-            rows.append(found[1:])
+                heads.append(pieces.pop(0))
+                found = [known.get(p) for p in pieces]
+                for k, ids in enumerate(found):
+                    if ids is None:
+                        missing[pieces[k]] = found[k] = b""
+                        gaps.append((row, k, pieces[k]))
+                break
+            rows.append(found)
         if missing:
             missing = self._learn(list(missing))
-            young.update((p, ids) for p, ids in missing.items() if len(p) <= CACHED_CHARS)
-            if len(young) >= CACHED_PIECES:
-                self.old, self.young = young, {}
+            for row, k, p in gaps:
+                rows[row][k] = missing[p]
+            if len(known) < CACHED_PIECES:
+                known.update((p, ids) for p, ids in missing.items() if len(p) <= CACHED_CHARS)
+            else:
+                self.misses += len(missing)
+                if self.misses > STALE:
+                    known.clear()
+                    self.misses = 0
         first = self._whole(heads)
-        return [h + b"".join([missing[x] if x.__class__ is str else x for x in r]) for h, r in zip(first, rows, strict=True)]
+        return [h + b"".join(r) for h, r in zip(first, rows, strict=True)]
 
 
 _encoder: dict[int, LibraryEncoder] = {}
