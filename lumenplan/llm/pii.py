@@ -240,14 +240,16 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one.
 
-    ``n_chars``, where there is such a column, is counted anew for the changed texts.
+    ``n_chars``, where there is such a column, is counted anew for the changed texts.  Null and empty
+    texts, repeated rows and all other columns stay as they are, whatever the columns' names; an empty
+    table gives none.
     """
-    columns = docs.columns
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = find(docs, text)
+    found = find(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
+    whole = F.col("_text")
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), state["at"] + 1, s["start"] - state["at"])
+        gap = F.substring(whole, state["at"] + 1, s["start"] - state["at"])
         inside = s["start"] < state["at"]
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
@@ -255,9 +257,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), s["at"] + 1, F.lit(1 << 30)))
-    clean = F.when(F.size("spans") == 0, F.col(text)).otherwise(F.aggregate("spans", start, step, rest))
-    done = found.withColumn("_clean", clean)
-    if "n_chars" in columns:
-        done = done.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("_clean").cast("long")))
-    return done.withColumn(text, F.col("_clean")).select(*columns)
+    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, s["at"] + 1, F.lit(1 << 30)))
+    same = F.size("spans") == 0
+    done = found.withColumn("_clean", F.when(same, whole).otherwise(F.aggregate("spans", start, step, rest)))
+    changed = {text: F.col("_clean"), "n_chars": F.when(same, F.col("_row.n_chars")).otherwise(F.length("_clean").cast("long"))} if "n_chars" in docs.columns else {text: F.col("_clean")}
+    return done.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -226,4 +226,5 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of 0.3 or more; all columns stay."""
-    return score(docs, fit(docs, labels), out="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    out = "_score" + "_" * max([len(c) for c in docs.columns])  # no column has this name
+    return score(docs, fit(docs, labels), out=out).where(F.col(out) >= THRESHOLD).drop(out)

@@ -43,7 +43,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.deduplicate(read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"))
+    vectors = read(spark, sf_dir, "embeddings")
+    return vector_dedup.deduplicate(vectors.select("vec_id", "label", vectors["embedding"].alias("vector")))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_pii(spark, documents, edge):
     assert clean.text == "to [EMAIL], [IP]"
 
 
+def test_columns_of_working_names_stay(spark):
+    rows = [(k, t, "s", "b", "r", 9, 1.5) for k, t in [(1, "write to a@b.cd now"), (2, None), (3, ""), (1, "write to a@b.cd now")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, base string, _row string, n_chars long, _score double")
+    redacted = sorted(map(tuple, pii.redact(df).collect()), key=str)
+    clean = (1, "write to [EMAIL] now", "s", "b", "r", 20, 1.5)
+    assert redacted == sorted([clean, clean, (2, None, "s", "b", "r", 9, 1.5), (3, "", "s", "b", "r", 9, 1.5)], key=str)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(map(tuple, quality.keep_good(df, labels).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.NET/en/x?y#z"), (2, None), (3, "foo"), (4, "http://net"), (5, "http://net/"), (6, "http://orgx/fr/"), (6, "http://orgx/fr/"), (7, "http://a.org/fr/b")]
     df = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string")
