@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenplan.llm import bpe, decontam, graph, html_text, pii, quality, queries, shards, simhash, token_files, urls, vector_dedup
+from lumenplan.llm import bpe, decontam, graph, html_text, near_copies, pii, quality, queries, shards, simhash, token_files, urls, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 PATH = queries.vocabulary_path()
@@ -216,6 +216,54 @@ def test_simhash_hot_blocks(spark):
     assert plain_components([(r.left, r.right) for r in rows], range(len(fps))) == plain_components(near, range(len(fps)))
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies(spark, edge):
+    random.seed(12)
+    vocabulary = ["".join(random.choices("abcdefghijklmnop", k=random.randint(2, 9))) for _ in range(2000)]
+    texts = []
+    for _ in range(60):
+        words = random.choices(vocabulary, k=random.randint(60, 400))
+        texts.append(" ".join(words))
+        for _ in range(random.randint(0, 3)):
+            edited = list(words)
+            for _ in range(max(1, len(words) // random.choice([60, 120, 250]))):
+                edited[random.randrange(len(edited))] = random.choice(vocabulary)
+            texts.append(" ".join(edited))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.group(df).collect()}
+    sets = [shingles(t) for t in texts]
+    close = apart = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            similarity = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            close += similarity >= 0.8
+            apart += similarity >= 0.8 and found[a] != found[b]
+            if found[a] == found[b]:
+                assert similarity > 0.3
+    assert close > 40 and apart <= close // 50
+    got = near_copies.group(edge).collect()
+    assert len(got) == len(EDGE)
+    groups = {r.doc_id: r.component_id for r in got}
+    assert (groups[1], groups[2], groups[3], groups[4], groups[5]) == (1, 1, 1, 4, 4)
+    kept = near_copies.keep_first(edge)
+    assert kept.columns == edge.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "7", "8", "None"]
+    assert near_copies.group(edge.limit(0)).count() == 0
+
+
+def test_near_copies_in_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "TILE", 8)
+    base = [f"w{k * k % 977}" for k in range(500)]
+    rows = [(k, " ".join([*base[:k], "edit", *base[k + 1 :]])) for k in range(100)] + [(100 + k, f"other text number {k} of its own") for k in range(5)]
+    groups = {r.doc_id: r.component_id for r in near_copies.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {groups[k] for k in range(100)} == {0}
+    assert all(groups[100 + k] == 100 + k for k in range(5))
+
+
 def test_decontamination(spark, edge):
     random.seed(3)
     vocabulary = [f"w{k}" for k in range(400)]
