@@ -264,6 +264,27 @@ def test_near_copies_in_several_tiles(spark, monkeypatch):
     assert all(groups[100 + k] == 100 + k for k in range(5))
 
 
+def test_near_copies_wherever_the_edits_are(spark):
+    """Pairs just above the similarity: a replaced run, appended text, a changed last word."""
+    rng = random.Random(5)
+    word = lambda: f"{rng.choice('bcdfgh')}{rng.randrange(4000)}"
+    pairs = []
+    for n, kind in [(n, kind) for n in (40, 120, 300) for kind in ("run", "append") for _ in range(50)] + [(n, "last") for n in range(15, 40) for _ in range(4)]:
+        words = [word() for _ in range(n)]
+        run = max(1, n // 10 - 4)
+        edited = {"run": words[:5] + [word() for _ in range(run)] + words[5 + run :], "append": words + [word() for _ in range(n // 5 - 1)], "last": words[:-1] + [word()]}[kind]
+        pairs.append((kind, " ".join(words), " ".join(edited)))
+    exact = [len(a & b) / len(a | b) for a, b in ((shingles(x), shingles(y)) for _, x, y in pairs)]
+    df = spark.createDataFrame([(2 * k + j, p[1 + j]) for k, p in enumerate(pairs) for j in (0, 1)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.group(df).collect()}
+    near = [k for k, e in enumerate(exact) if e >= 0.8]
+    for kind in ("run", "append", "last"):
+        of_kind = [k for k in near if pairs[k][0] == kind]
+        assert len(of_kind) > 50
+        assert sum(found[2 * k + 1] == 2 * k for k in of_kind) >= 0.98 * len(of_kind)
+    assert near_copies.recall() > 0.998
+
+
 def test_decontamination(spark, edge):
     random.seed(3)
     vocabulary = [f"w{k}" for k in range(400)]
