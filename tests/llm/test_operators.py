@@ -285,6 +285,21 @@ def test_near_copies_wherever_the_edits_are(spark):
     assert near_copies.recall() > 0.998
 
 
+def test_near_copies_are_exact(spark, monkeypatch):
+    """Texts a little below the similarity that the filter proposes stay apart, in one tile and in several."""
+    base = [f"w{k * k % 977}x{k}" for k in range(104)]
+    rows = [(k, " ".join([*(f"a{k}b{j}" for j in range(14)), *base])) for k in range(40)]
+    rows += [(100 + k, " ".join([*(f"a{k}b{j}" for j in range(14)), *base[:-4]])) for k in range(20)]
+    sets = {k: shingles(t) for k, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) == 20 and max(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(40) for b in range(a)) > 0.75
+    expected = plain_components(near, sets)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (512, 8):
+        monkeypatch.setattr(near_copies, "TILE", tile)
+        assert {r.doc_id: r.component_id for r in near_copies.group(df).collect()} == expected
+
+
 def test_decontamination(spark, edge):
     random.seed(3)
     vocabulary = [f"w{k}" for k in range(400)]
