@@ -4,7 +4,8 @@ A pass over all documents looks up the word trigrams of the test items.  It coun
 documents each of them occurs, and keeps the stretches in which enough trigrams of one item stand
 close together: as many as are left of the item, at the worst placed edits, at the least similarity.
 A stretch is joined to an item by the item's rare trigrams, the ones in the fewest documents; their
-number is such that a copy must hold one of them.  Smith-Waterman alignment of stretch and item then
+number is such that a copy must hold one of them.  An item whose trigrams could all be lost in a copy is
+looked up by its bigrams, or by its words.  Smith-Waterman alignment of stretch and item then
 decides.  Test items come in blocks of a fixed size, so what is broadcast does not grow.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .bpe import text_batches
 
-#: Words of a seed.
+#: Words of a seed, at most.
 GRAM = 3
 #: Least share of an item's words that a copy holds.
 SIMILARITY = 0.8
@@ -44,16 +45,26 @@ def most_edits(length: int, similarity: float) -> int:
     return int(length * (1 - similarity) + 1e-9)
 
 
-def needed(length: int, similarity: float = SIMILARITY) -> int:
-    """Different seeds of an item of so many words that every copy holds.
+def needed(times: np.ndarray, length: int, size: int, similarity: float = SIMILARITY) -> int:
+    """Different seeds, of those that an item of so many words holds so many ``times``, that every copy holds.
 
     A copy lacks or changes at most e words and its alignment scores at least length - 2e, which also
-    bounds the words put in: an edit spoils at most GRAM seeds, a word put in at most GRAM - 1.
+    bounds the words put in: an edit spoils at most ``size`` seeds, a word put in at most one less.  A
+    seed is lost when each place of it is spoilt, so at worst the seeds with the fewest places are.
     """
-    size = min(GRAM, length)
     e = most_edits(length, similarity)
     spoilt = max(size * k + (size - 1) * (2 * e - 2 * k) for k in (0, e))
-    return max(1, length - size + 1 - spoilt)
+    return len(times) - int((np.cumsum(np.sort(times)) <= spoilt).sum())
+
+
+def seeds_of_item(ws: np.ndarray, similarity: float = SIMILARITY) -> tuple[int, np.ndarray, int]:
+    """Words of a seed, the most of which a copy must hold one, the different seeds, and how many a copy must hold."""
+    for size in range(min(GRAM, len(ws)), 0, -1):
+        codes, times = np.unique(_codes(ws, size), return_counts=True)
+        need = needed(times, len(ws), size, similarity)
+        if need > 0:
+            break
+    return size, codes, need
 
 
 class Block:
@@ -64,17 +75,14 @@ class Block:
         self.ids = [i for i, _ in items]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in items]
         self.similarity = similarity
-        self.need = np.array([needed(len(ws), similarity) for ws in self.words])
-        pairs = []
-        for n, ws in enumerate(self.words):
-            size = min(GRAM, len(ws))
-            codes = np.unique(_codes(np.concatenate((ws, np.zeros(GRAM - size, np.int64))))[: len(ws) - size + 1])
-            pairs.append(np.stack([codes, np.full(len(codes), n, np.uint64)]))
+        found = [seeds_of_item(ws, similarity) for ws in self.words]
+        self.sizes = sorted({size for size, _, _ in found})
+        self.need = np.array([need for _, _, need in found])
+        pairs = [np.stack([codes, np.full(len(codes), n, np.uint64)]) for n, (_, codes, _) in enumerate(found)]
         both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.uint64)
         both = both[:, np.lexsort((both[1], both[0]))]
         self.seeds, self.first, self.count = np.unique(both[0], return_index=True, return_counts=True)
         self.item_of = both[1].astype(np.int64)
-        self.short = any(len(ws) < GRAM for ws in self.words)
 
     def seeds_of(self) -> list[tuple[int, int]]:
         """Every (item, seed) by number."""
@@ -82,12 +90,12 @@ class Block:
         return list(zip(self.item_of.tolist(), seed.tolist(), strict=True))
 
 
-def _codes(ids: np.ndarray) -> np.ndarray:
-    """Codes of all GRAM-long runs of word numbers, which may hold zeros."""
+def _codes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Codes of all runs of so many word numbers, which may hold zeros; runs of different sizes have different codes."""
     x = ids.astype(np.uint64)
-    code = np.zeros(max(0, len(x) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
-        code = (code ^ x[k : len(x) - GRAM + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+    code = np.full(max(0, len(x) - size + 1), GRAM - size, np.uint64)
+    for k in range(size):
+        code = (code ^ x[k : len(x) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         code ^= code >> np.uint64(29)
     return code
 
@@ -110,15 +118,16 @@ class _Codes(dict):
 
 def _stretches(block: Block, ids: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
     """(item, start, end, seeds) of the stretches of a document with enough seeds of an item, and the seeds of all."""
-    padded = np.concatenate((ids, np.zeros(GRAM - 1, np.int64))) if block.short else ids
-    if len(padded) < GRAM:
-        return
-    codes = _codes(padded)
-    inside = np.flatnonzero(padded[: len(codes)] > 0)
-    at = np.searchsorted(block.seeds, codes[inside])
-    at[at == len(block.seeds)] = 0
-    right = block.seeds[at] == codes[inside]
-    pos, seed = inside[right], at[right]
+    places, seeds = [], []
+    for size in block.sizes:
+        codes = _codes(ids, size)
+        inside = np.flatnonzero(ids[: len(codes)] > 0)
+        at = np.searchsorted(block.seeds, codes[inside])
+        at[at == len(block.seeds)] = 0
+        right = block.seeds[at] == codes[inside]
+        places.append(inside[right])
+        seeds.append(at[right])
+    pos, seed = np.concatenate(places), np.concatenate(seeds)
     if not len(pos):
         return
     yield -1, 0, 0, np.unique(seed).tolist()
@@ -139,7 +148,8 @@ def _stretches(block: Block, ids: np.ndarray) -> Iterator[tuple[int, int, int, l
         dense = np.flatnonzero(p[need - 1 :] - p[: len(p) - need + 1] <= reach)
         if not len(dense):
             continue
-        for run in np.split(dense, np.flatnonzero(np.diff(dense) >= need) + 1):
+        apart = np.diff(dense) >= need if need > 1 else np.diff(p) > GRAM
+        for run in np.split(dense, np.flatnonzero(apart) + 1):
             low, high = int(run[0]), int(run[-1]) + need - 1
             found = np.unique(seed[a + low : a + high + 1])
             if len(found) >= need:

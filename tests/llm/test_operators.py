@@ -329,6 +329,30 @@ def test_decontamination(spark, edge):
     assert decontam.report(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeating_and_short_items(spark):
+    filler = " ".join(f"f{k}" for k in range(60))
+    letters = "abcdefghijkl"
+    items = [list("abcde") * 8, list(letters[:8]) * 12, ["again"] * 20, list("vwxyz"), list("mnopqr"), [f"t{k}" for k in range(10)], ["one"], ["two", "words"]]
+    # every accepted number of words changed, where it costs most seeds
+    changed = {0: range(2, 40, 5), 1: range(2, 96, 6), 2: [2, 7, 12, 17], 3: [2], 4: [2], 5: [3, 6], 6: [], 7: []}
+    docs = []
+    for k, it in enumerate(items):
+        for j, places in enumerate(([], changed[k])):
+            docs.append((10 * k + j, " ".join([filler, *("else" if n in places else w for n, w in enumerate(it)), "f3", filler])))
+    docs += [(90, filler), (91, " ".join([filler, "v w else y else", "m n", filler]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(it)) for k, it in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.matches(df, bench).collect()}
+    for doc, text in docs:
+        ws = decontam.words(text)
+        for k, it in enumerate(items):
+            numbers = {w: n for n, w in enumerate({*ws, *it})}
+            score, same, _ = decontam.align(np.array([numbers[w] for w in it]), np.array([numbers[w] for w in ws]))
+            e = decontam.most_edits(len(it), decontam.SIMILARITY)
+            assert ((doc, k) in found) == (same >= len(it) - e and score >= len(it) - 2 * e), (doc, k)
+    assert {(10 * k + j, k) for k in range(len(items)) for j in (0, 1)} <= found
+
+
 def test_alignment():
     a = np.array([1, 2, 3, 4, 5, 6])
     assert decontam.align(a, np.array([9, 1, 2, 3, 4, 5, 6, 9]))[:2] == (6, 6)
