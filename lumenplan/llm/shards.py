@@ -2,7 +2,7 @@
 
 Rows that share a link should share a shard.  Linked rows start evenly spread.  In each round every
 link tells how many of its rows each shard holds; every row asks for the shard where most of its
-linked rows are (in every other round only among those with room).  Rows that two shards want to swap
+linked rows are (among those with room, as long as that brings linked rows together; else among all).  Rows that two shards want to swap
 are exchanged, and beyond that a shard admits as many as its quota leaves.  Rows of one link are
 admitted together where the quota allows.  Rows without links then fill the shards up, so
 the counts of any two shards differ by at most one.
@@ -17,6 +17,7 @@ from . import scratch
 from .ranks import add_rank
 
 SHARDS = 16
+#: Rounds at most, besides one for each shard that a large link may have to fill.
 ROUNDS = 8
 #: Buckets for ranks: of links, and of rows within one bucket of links.
 LINK_BUCKETS, ROW_BUCKETS = 64, 8
@@ -31,6 +32,12 @@ def _sizes(labels: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
+def _together(links: DataFrame, labels: DataFrame) -> int:
+    """Pairs of rows that share a link and a shard, each twice and each row with itself; the more, the fewer cut."""
+    held = links.join(labels, "row").groupBy("link", "shard").agg(F.count("*").cast("decimal(18,0)").alias("n"))
+    return int(held.agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).first().pairs or 0)
+
+
 def _quotas(wanted: list[list[int]], room: list[int]) -> list[list[int]]:
     """How many rows may move from each shard to each other: exchanges, and shares of the room left."""
     n = len(room)
@@ -38,8 +45,12 @@ def _quotas(wanted: list[list[int]], room: list[int]) -> list[list[int]]:
     for b in range(n):
         rest = [wanted[a][b] - out[a][b] for a in range(n)]
         total = max(1, sum(rest))
+        seats = min(room[b], sum(rest))
+        shares = [seats * r // total for r in rest]
+        for a in sorted(range(n), key=lambda a: (-(seats * rest[a] % total), a))[: seats - sum(shares)]:
+            shares[a] += 1
         for a in range(n):
-            out[a][b] += min(rest[a], room[b] * rest[a] // total)
+            out[a][b] += shares[a]
     return out
 
 
@@ -79,13 +90,18 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
     start = add_rank(rows, [], _spread("row", LINK_BUCKETS * ROW_BUCKETS), LINK_BUCKETS * ROW_BUCKETS, ["row"])
     labels = scratch.save(start.select("row", (F.col("rank") % shards).cast("int").alias("shard")), "labels")
     sizes = _sizes(labels, shards)
-    still = 0
-    for k in range(rounds if sum(sizes) else 0):
+    anywhere, still, together = True, 0, _together(links, labels) if sum(sizes) else 0
+    for _ in range(rounds + shards if sum(sizes) else 0):
         room = [max(0, n_rows // shards - n) for n in sizes]
-        after = scratch.save(_round(links, labels, room, shards, k % 2 == 0), "labels")
-        moves = after.join(labels.withColumnRenamed("shard", "old"), "row").where("shard != old").limit(1).count()
-        labels, sizes = after, _sizes(after, shards)
-        still = 0 if moves else still + 1
+        after = scratch.save(_round(links, labels, room, shards, anywhere), "labels")
+        now = _together(links, after)
+        if now > together:
+            labels, sizes, together, still = after, _sizes(after, shards), now, 0
+            # a link larger than a shard fills one after the other as long as there is room
+            anywhere = False
+        else:
+            still += 1
+            anywhere = not anywhere
         if still == 2:
             break
     return labels

@@ -427,6 +427,15 @@ def test_shards(spark, edge):
     assert shards.shard_documents(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [3, 2])
+def test_shards_of_a_large_group(spark, part):
+    rows, quota = 1600, 100
+    links = spark.range(rows // part).select(F.col("id").alias("row"), F.lit(1).cast("long").alias("link"))
+    counts = [r["count"] for r in shards.propagate(links, rows).groupBy("shard").count().collect()]
+    assert sum(counts) == rows // part and max(counts) <= quota
+    assert len(counts) == -(-(rows // part) // quota)
+
+
 def test_pipeline_matches_its_stages(spark):
     import corpus_pipeline
 
