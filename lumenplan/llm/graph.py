@@ -50,6 +50,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components are not finished after {MAX_ROUNDS} rounds")
     leaves = table.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = table.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -191,6 +191,14 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
+def test_unfinished_components_raise(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 1)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.connected_components(chain, "a", "b")
+    assert graph.connected_components(chain.limit(0), "a", "b").count() == 0
+
+
 def test_simhash(documents, edge):
     texts = {r.doc_id: r.text for r in documents.collect()}
     f = {i: plain_fingerprint(t) for i, t in texts.items()}
