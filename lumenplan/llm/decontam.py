@@ -304,5 +304,11 @@ def report(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no copy of a test item; all columns stay, and so do rows without doc_id."""
-    return docs.join(matches(docs, items, similarity).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no copy of a test item; all columns stay, and so do rows without doc_id.
+
+    Null and empty texts are clean; of repeated rows of one doc_id all go if one holds a copy; an empty table of items
+    leaves all documents; an empty table of documents gives none.  Only the numbers of the others are
+    looked up; if Spark finds their table small, it is broadcast and the texts stay where they are.
+    """
+    found = scratch.save(matches(docs, items, similarity).select("doc_id").distinct(), "leaks")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .hot import add_least
 
 #: Rounds after which the contraction is taken to be broken.  Each round at least halves the
 #: depth of every tree, so 64 is beyond any graph that fits a cluster.
@@ -22,8 +23,9 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Edges may repeat and may be given in either direction; loops and edges with a null end say
     nothing and are left out.  Every round is a map-side combined minimum per node and one join,
-    written to the shared folder, so hubs cost one row per edge and never a list.  An empty edge
-    table gives an empty result.
+    written to the shared folder; the least neighbours of the hubs are broadcast, so the edges of a hub
+    are never in one task.  An empty edge table gives an empty result.  Raises RuntimeError if the
+    rounds run out, rather than return unfinished components.
     """
     l, r = F.col(left), F.col(right)
     e = (
@@ -35,11 +37,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     table = scratch.save(e, "edges")
     before = _signature(table)
     for _ in range(MAX_ROUNDS if before[0] else 0):
+        total = 2 * before[0]
         both = table.union(table.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(floor, "a")
+        low = add_least(both, "u", "v", "m", total)
+        large = low.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        joined = add_least(large, "a", "b", "m", total)
         small = joined.select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
         ).distinct()
@@ -53,6 +55,17 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     else:
         if before[0]:
             raise RuntimeError(f"components are not finished after {MAX_ROUNDS} rounds")
+    # finished: every node but the roots has one edge, to its root
     leaves = table.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = table.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)
+
+
+def name_components(classes: DataFrame, edges: DataFrame, key: str, least: str, out: str) -> DataFrame:
+    """Add to every class the least ``least`` of its component; ``edges (left, right)`` link values of ``key``.
+
+    ``key`` is a long that no two classes share.  A class without edges is a component of its own.
+    """
+    parts = connected_components(edges, "left", "right").withColumnRenamed("node", key)
+    known = classes.join(parts, key, "left").withColumn("component", F.coalesce("component", key))
+    return add_least(known, "component", least, out, classes.count()).drop("component")

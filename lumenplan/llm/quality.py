@@ -225,6 +225,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score of 0.3 or more; all columns stay."""
+    """The documents with a score of 0.3 or more; all columns stay, whatever their names.
+
+    Null, empty and blank texts are scored as documents without words; repeated rows stay or go
+    together; without labels every document scores 0.5 and stays; an empty table gives none.
+    """
     out = "_score" + "_" * max([len(c) for c in docs.columns])  # no column has this name
     return score(docs, fit(docs, labels), out=out).where(F.col(out) >= THRESHOLD).drop(out)

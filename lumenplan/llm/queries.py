@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, html_text, pii, quality, shards, simhash, token_files, urls, vector_dedup
 
-#: Folder of the public vocabulary files; a parameter of the installation.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: Vocabulary file of the queries; the operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary_path() -> str:
     """Place of the byte-level vocabulary that the queries use."""
-    return f"{TOKENIZERS}/byte_bpe_50k.json"
+    return str(public_tokenizers.path(VOCABULARY))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``.  Where the session
-names none (tests, notebooks) a temporary folder of this machine is set once.
+The folder is the one named by ``spark.checkpoint.dir``.  Where a local session
+names none (tests, notebooks) a temporary folder of this machine is set once; on
+a cluster, whose machines do not share one, that is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="lumenplan-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .hot import join_keys
 from .ranks import add_rank
 
 SHARDS = 16
@@ -54,13 +55,16 @@ def _quotas(wanted: list[list[int]], room: list[int]) -> list[list[int]]:
     return out
 
 
-def _round(links: DataFrame, labels: DataFrame, room: list[int], shards: int, anywhere: bool) -> DataFrame:
-    """The labels after one round; ``room`` is how many rows each shard may still take."""
+def _round(links: DataFrame, n_links: int, labels: DataFrame, room: list[int], shards: int, anywhere: bool) -> DataFrame:
+    """The labels after one round; ``room`` is how many rows each shard may still take.
+
+    What the shards hold of a link with many rows is broadcast, so these rows never meet in one task.
+    """
     held = links.join(labels, "row").groupBy("link", "shard").agg(F.count("*").alias("n"))
     counts = held.groupBy("link").agg(
-        *[F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in range(shards)]
+        *[F.sum(F.when(F.col("shard") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in range(shards)], F.sum("n").alias("n")
     )
-    seen = links.join(counts, "link").groupBy("row").agg(
+    seen = join_keys(links, counts, "link", n_links).groupBy("row").agg(
         F.min("link").alias("salt"), *[F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)]
     )
     own = seen.join(labels, "row")
@@ -90,10 +94,11 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
     start = add_rank(rows, [], _spread("row", LINK_BUCKETS * ROW_BUCKETS), LINK_BUCKETS * ROW_BUCKETS, ["row"])
     labels = scratch.save(start.select("row", (F.col("rank") % shards).cast("int").alias("shard")), "labels")
     sizes = _sizes(labels, shards)
+    n_links = links.count()
     anywhere, still, together = True, 0, _together(links, labels) if sum(sizes) else 0
     for _ in range(rounds + shards if sum(sizes) else 0):
         room = [max(0, n_rows // shards - n) for n in sizes]
-        after = scratch.save(_round(links, labels, room, shards, anywhere), "labels")
+        after = scratch.save(_round(links, n_links, labels, room, shards, anywhere), "labels")
         now = _together(links, after)
         if now > together:
             labels, sizes, together, still = after, _sizes(after, shards), now, 0
@@ -112,8 +117,8 @@ def assign(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
 
     ``links`` has a line ``(row, link)`` for each link of a row; a link of one row only says nothing.
     """
-    many = links.groupBy("link").agg(F.count("*").alias("_n")).where("_n > 1").select("link")
-    linked = scratch.save(links.join(many, "link").select("row", "link"), "links")
+    sizes = links.groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
+    linked = scratch.save(join_keys(links, sizes, "link", links.count()).select("row", "link"), "links")
     n_rows = rows.count()
     labels = propagate(linked, n_rows, shards, rounds)
     sizes = _sizes(labels, shards)

@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from . import scratch
 from .bpe import text_batches
-from .graph import connected_components
+from .graph import name_components
+from .hot import join_keys
 
 SEED = 42
 SHINGLE = 3
@@ -112,22 +113,13 @@ def group(df: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, the smallest linked doc_id.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows are
-    kept; documents with null doc_id get a fingerprint and no component of their own number; an empty
-    table gives none; other columns are ignored.
+    kept, and rows of one doc_id with different texts are linked by their own texts; documents with null
+    doc_id are linked too and give a component no number; an empty table gives none; other columns are
+    ignored.
     """
     bits = scratch.save(fingerprints(df, out="fp"), "fingerprints")
-    classes = scratch.save(bits.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    parts = connected_components(links(classes), "left", "right")
-    named = classes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return bits.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(df: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group; all columns stay.
-
-    Rows that repeat a doc_id are the same document: one of them stays.  Documents without doc_id have
-    no group and stay.
-    """
-    kept = group(df.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    whole = df.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return whole.unionByName(df.where("doc_id is null"))
+    classes = scratch.save(bits.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
+    named = name_components(classes, links(classes.select("fp", F.col("fp").alias("node"))), "fp", "node", "component_id")
+    return join_keys(bits, named.select("fp", "component_id", "n"), "fp", bits.count()).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenplan.llm import bpe, decontam, graph, html_text, near_copies, pii, quality, queries, shards, simhash, token_files, urls, vector_dedup
+from lumenplan.llm import bpe, decontam, graph, hot, html_text, near_copies, pii, quality, queries, shards, simhash, token_files, urls, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 PATH = queries.vocabulary_path()
@@ -184,6 +184,24 @@ def test_components(spark):
     assert got == plain_components([p for p in pairs if p[0] != p[1]], nodes)
 
 
+@pytest.mark.parametrize("hub", [0, 200_000])
+def test_components_of_a_hub(spark, hub):
+    """One node with 100 000 edges, the smallest or the largest of all; its edges don't meet in one task."""
+    edges = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(hub).alias("b"))
+    rows = graph.connected_components(edges, "a", "b").agg(F.count("*"), F.min("component"), F.max("component")).first()
+    assert tuple(rows) == (100_001, min(hub, 1), min(hub, 1))
+
+
+def test_join_of_hot_keys(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.col("id")).alias("key"))
+    keys = rows.groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    got = sorted(map(tuple, hot.join_keys(rows, keys, "key", 5000).select("id", "key", "top").collect()))
+    expected = sorted((k, 7 if k % 3 == 0 else k, 4998 if k % 3 == 0 or k == 7 else k) for k in range(5000) if k % 3 == 0 or k % 100 != 1)
+    assert got == expected
+    least = hot.add_least(rows, "key", "id", "least", 5000).where("key = 7").agg(F.min("least"), F.max("least")).first()
+    assert tuple(least) == (0, 0)
+
+
 def plain_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
@@ -210,7 +228,9 @@ def test_simhash(documents, edge):
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
     assert simhash.group(edge.limit(0)).count() == 0
-    assert sorted(r.doc_id or 0 for r in simhash.keep_first(edge).collect()) == [0, 1, 4, 6, 7, 8]
+    # a doc_id with two different texts does not link them
+    both = edge.sparkSession.createDataFrame([(7, "one text of its own"), (7, "quite another text here"), (3, "quite another text here"), (None, "quite another text here")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.component_id) for r in simhash.group(both).collect()) == [("3", 3), ("7", 3), ("7", 7), ("None", 3)]
 
 
 def test_simhash_hot_blocks(spark):
@@ -261,6 +281,20 @@ def test_near_copies(spark, edge):
     assert kept.columns == edge.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "7", "8", "None"]
     assert near_copies.group(edge.limit(0)).count() == 0
+    assert near_copies.keep_first(edge.limit(0)).count() == 0
+
+
+def test_near_copies_of_one_number(spark):
+    """Rows of one doc_id with different texts are different documents; equal rows are one."""
+    one, two, three = ("some words of a first text that is here", "other words of a second text that is there", "the third text has words of its own as well")
+    rows = [(7, one, 1), (7, two, 2), (7, two, 3), (3, two, 4), (9, three, 5), (9, three, 5), (None, three, 6), (5, one, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash long")
+    assert sorted((str(r.doc_id), r.component_id) for r in near_copies.group(df).collect()) == sorted(
+        [("7", 5), ("7", 3), ("7", 3), ("3", 3), ("9", 9), ("9", 9), ("None", 9), ("5", 5)]
+    )
+    kept = near_copies.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", two), ("5", one), ("9", three), ("None", three)])
 
 
 def test_near_copies_in_several_tiles(spark, monkeypatch):
