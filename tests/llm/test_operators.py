@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -145,6 +146,66 @@ def test_html(spark):
     assert sorted(r.text for r in html_text.extract(df).collect()) == ["", "x"]
 
 
+WORDS60 = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize("name", ["article-sidebar", "post-footer", "entry-comments", "content-ad", "story-comments", "page-menu", "main-nav"])
+def test_html_surroundings_inside_an_article(name):
+    p = WORDS60
+    assert html_text.main_text(f"<article><h1>T</h1><p>{p}</p><div class='{name}'><p>{p}</p></div><p>b</p></article>") == f"T\n{p}\nb"
+    assert html_text.main_text(f"<div class='story'><p>{p}</p></div><div class='{name}'><p>{p}</p></div>") == p
+
+
+def test_html_pages_without_an_article():
+    p = WORDS60
+    menu = "<ul><li><a href=/>Home</a></li><li><a>About us</a></li><li><a>More news</a></li></ul>"
+    pages = {
+        f"<p>{p}</p><ul><li><a href=x>next page</a></li></ul>": p,
+        f"<h1>Short title</h1><p>Yes.</p><p>{p}</p>": f"Short title\nYes.\n{p}",
+        f"{menu}<p>{p}</p>{menu}": p,
+        f"<body class='page has-sidebar sidebar-left'><div class='content with-sidebar'><p>{p}</p></div></body>": p,
+        f"<p class=ad>{p}<p>{p} b": f"{p} b",
+        "a < b <3 &lt;x&gt; c": "a < b <3 <x> c",
+        "<p title=\"x>y\">One</p>": "One",
+        menu: "",
+        "  \n ": "",
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a '" * 1_300_000, "<div>" * 500_000 + "</section>" * 250_000, "<svg>" + "</svg " * 800_000, "<a x='>'" * 600_000, "<" * 5_000_000, "<video>" * 700_000])
+def test_html_is_linear(page):
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 15
+
+
+def test_html_tree_uses_its_features():
+    x, y = html_text.labelled()
+    used = set()
+
+    def walk(node, rows):
+        if not isinstance(node, tuple):
+            return np.full(len(rows), float(node))
+        used.add(html_text.FEATURES[node[0]])
+        return np.where(rows[:, node[0]] <= node[1], walk(node[2], rows), walk(node[3], rows))
+
+    assert (walk(html_text.tree(), x) == y).mean() > 0.97
+    assert "density" in used and {"density_before", "density_after"} & used and {"words_before", "words_after"} & used
+    article = "<article><h1>Title</h1><p><a href=x>A link</a></p><p>Yes.</p><p><a href=y>See this</a></p></article>"
+    assert html_text.main_text(article) == "Title\nA link\nYes.\nSee this"
+
+
+def test_html_tables(spark):
+    rows = [(k % 3, "u", f"<article><p>{WORDS60} {k % 3}</p></article>" * (1 if k else 20_000), "t") for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id, r.n_chars) for r in html_text.extract(df).collect())
+    one = len(WORDS60) + 2
+    assert got == sorted([(0, 20_000 * (one + 1) - 1), (0, one), (1, one), (1, one), (2, one), (2, one)])
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_quality(spark):
     docs, labels = (queries.read(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     rows = quality.judge(docs, labels).join(labels, "doc_id").where("held_out").collect()
