@@ -68,4 +68,6 @@ def name_components(classes: DataFrame, edges: DataFrame, key: str, least: str,
     """
     parts = connected_components(edges, "left", "right").withColumnRenamed("node", key)
     known = classes.join(parts, key, "left").withColumn("component", F.coalesce("component", key))
-    return add_least(known, "component", least, out, classes.count()).drop("component")
+    # drop before the name, which may be the same
+    found = add_least(known.withColumnRenamed("component", "_root"), "_root", least, "_least", classes.count())
+    return found.drop("_root").withColumnRenamed("_least", out)

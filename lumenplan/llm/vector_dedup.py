@@ -7,8 +7,9 @@ is such that a pair at the threshold passes with the wanted recall.
 
 Equal vectors are one class with a weight.  The classes of a label are sorted along the first
 direction and cut into blocks of a fixed size; a pair of blocks is skipped where their ranges on the
-directions leave too few that could collide.  A task holds two blocks at a time, counts collisions for
-all their pairs, and returns a link count and one tree edge per class, never the pairs.
+directions leave too few that could collide.  A task holds two blocks at a time, counts the
+collisions of their pairs tile by tile, and returns a link count and one tree edge per class, never
+the pairs.  The pairs of blocks of a label are rows of their own, so a hot label fills many tasks.
 """
 
 from __future__ import annotations
@@ -21,18 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .graph import connected_components
+from .graph import name_components
+from .hot import join_keys
 from .ranks import add_rank
 
 THRESHOLD = 0.93
 DIRECTIONS = 24
 #: Half a window, in distances of a pair at the threshold, and the recall of such a pair.
 WINDOW, RECALL = 2.0, 0.999
-#: Classes of one block.
-BLOCK = 1024
+#: Classes of one block, and of one tile of a block.
+BLOCK, TILE = 2048, 512
+#: Cosines from two formulas differ by less; within it the slower one decides, for every pair alike.
+ROUNDING = 1e-9
 #: Ranges of the first projection, and rows' hash classes in each, by which classes are ranked.
 RANGES, PARTS = 256, 16
 SEED = 11
+#: Pairs of label and length whose numbers of blocks are broadcast; with more they are shuffled, and each has few blocks.
+BROADCAST_LABELS = 100_000
 
 
 def directions(dims: int) -> np.ndarray:
@@ -56,7 +62,7 @@ def collisions_needed() -> int:
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, dims, vector, class, weight) of the usable vectors; equal ones are one class."""
+    """(vec_id, label, dims, vector, class, first, weight) of the usable vectors; equal ones are one class, ``first`` its least vec_id."""
     usable = (
         F.col("label").isNotNull()
         & F.col("vector").isNotNull()
@@ -64,8 +70,15 @@ def _classes(vectors: DataFrame) -> DataFrame:
         & F.exists("vector", lambda x: x != 0)
     )
     rows = vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", "label", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
-    held = rows.groupBy("label", "vector").agg(F.min("vec_id").alias("class"), F.count("*").alias("weight"))
-    return rows.join(held, ["label", "vector"]).withColumn("dims", F.size("vector"))
+    rows = rows.withColumn("same", F.struct("label", "vector"))
+    held = rows.groupBy("same").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumns({"class": F.xxhash64("same"), "n": F.col("weight")})
+    return join_keys(rows, held, "same", rows.count()).drop("same").withColumn("dims", F.size("vector"))
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _first_range(classes: DataFrame) -> DataFrame:
@@ -77,7 +90,7 @@ def _first_range(classes: DataFrame) -> DataFrame:
         for b in batches:
             x = [np.array(v, float) for v in b.column("vector").to_pylist()]
             d = {len(v): directions(len(v))[0] for v in x}
-            p = [0.5 * (1 + normal(float(v @ d[len(v)] / np.linalg.norm(v)) / sqrt(2))) for v in x]
+            p = [0.5 * (1 + normal(float(unit_vectors(v[None])[0] @ d[len(v)]) / sqrt(2))) for v in x]
             part = pa.array([min(RANGES - 1, int(q * RANGES)) for q in p], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, part], [*b.schema.names, "part"])
 
@@ -102,8 +115,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
                 one = b.slice(k, 1)
                 rows = one.column("rows")[0].values
                 dims = one.column("dims")[0].as_py()
-                x = rows.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(float)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit_vectors(rows.field("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(float))
                 p = (x @ directions(dims).T).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -125,19 +137,30 @@ def _blocks(classes: DataFrame) -> DataFrame:
 def _linked(a: dict, b: dict, same: bool, threshold: float) -> np.ndarray:
     """Which pairs of two blocks are linked."""
     half, need = np.float32(window(threshold) + 1e-6), collisions_needed()
-    counts = np.zeros((len(a["ids"]), len(b["ids"])), np.uint8)
-    for p, q in zip(a["projections"], b["projections"], strict=True):
-        counts += np.abs(p[:, None] - q[None, :]) <= half
-    passed = counts >= need
-    if same:
-        passed &= np.tri(len(passed), k=-1, dtype=bool)
-    left, right = np.nonzero(passed)
-    if len(left) * 8 > passed.size:
-        return passed & (a["units"] @ b["units"].T >= threshold)
-    for k in range(0, len(left), 1 << 16):
-        i, j = left[k : k + (1 << 16)], right[k : k + (1 << 16)]
-        passed[i, j] = np.einsum("ij,ij->i", a["units"][i], b["units"][j]) >= threshold
-    return passed
+    p, q = a["projections"], b["projections"]
+    links = np.zeros((p.shape[1], q.shape[1]), bool)
+    for k in range(0, len(links), TILE):
+        rows, columns = slice(k, k + TILE), slice(0, k + TILE if same else None)
+        counts = np.zeros(links[rows, columns].shape, np.uint8)
+        for x, y in zip(p[:, rows], q[:, columns], strict=True):
+            counts += np.abs(x[:, None] - y[None, :]) <= half
+        passed = counts >= need
+        if same:
+            passed &= np.arange(k, k + len(passed))[:, None] > np.arange(passed.shape[1])[None, :]
+        if passed.any():
+            links[rows, columns] = passed & _cosines_reach(a["units"][rows], b["units"][columns], passed, threshold)
+    return links
+
+
+def _cosines_reach(x: np.ndarray, y: np.ndarray, of: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs have the cosine; near the threshold one formula, summed pair by pair, decides for all."""
+    cosines = x @ y.T
+    reach = cosines >= threshold
+    i, j = np.nonzero(of & (np.abs(cosines - threshold) < ROUNDING))
+    for k in range(0, len(i), 1 << 16):
+        at = slice(k, k + (1 << 16))
+        reach[i[at], j[at]] = (x[i[at]] * y[j[at]]).sum(1) >= threshold
+    return reach
 
 
 def _trees(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,11 +219,12 @@ def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``vectors`` has vec_id, label and vector.  A vector that is null, zero, or holds null or non-finite
     components, and one with a null label, links with nothing; vectors of different lengths don't link.
-    Rows that repeat a vec_id are vectors of their own that share the number; a null vec_id keeps
-    nulls.  An empty table gives none; other columns are ignored.
+    Rows that repeat a vec_id are vectors of their own; each of them gets the most links and the
+    smallest component of all with the number.  A null vec_id links with nothing and keeps nulls.  An
+    empty table gives none; other columns are ignored.
     """
     classes = scratch.save(_classes(vectors.select("vec_id", "label", F.col("vector").cast("array<double>").alias("vector"))), "vectors")
-    different = classes.groupBy("label", "dims", "class", "weight").agg(F.first("vector").alias("vector"))
+    different = scratch.save(classes.groupBy("label", "dims", "class", "first", "weight").agg(F.first("vector").alias("vector")), "different")
     blocks = scratch.save(_blocks(different), "vector-blocks")
     side = lambda s, heavy: blocks.select(
         "label", "dims", *[F.col(c).alias(f"{s}_{c}") for c in ("block", *(("ids", "weights", "units", "projections") if heavy else ("low", "high")))]
@@ -211,21 +235,26 @@ def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             lambda z: (z["y_low"] > z["x_high"] + window(threshold) + 1e-5) | (z["x_low"] > z["y_high"] + window(threshold) + 1e-5),
         )
     )
+    # every block meets the numbers of its label's blocks, a few per label, and then their ranges by number
+    numbers = blocks.groupBy("label", "dims").agg(F.max("block").alias("last"))
+    wanted = side("x", False).join(F.broadcast(numbers), ["label", "dims"]) if numbers.count() <= BROADCAST_LABELS else side("x", False).join(numbers, ["label", "dims"])
+    wanted = wanted.withColumn("y_block", F.explode(F.sequence("x_block", "last"))).drop("last")
     near = (
-        side("x", False).join(side("y", False), ["label", "dims"])
-        .where("x_block <= y_block")
+        wanted.join(side("y", False), ["label", "dims", "y_block"])
         .where(DIRECTIONS - apart >= collisions_needed())
         .select("label", "dims", "x_block", "y_block")
     )
     pairs = near.join(side("x", True), ["label", "dims", "x_block"]).join(side("y", True), ["label", "dims", "y_block"])
     found = scratch.save(_compare(pairs, threshold), "vector-links")
-    parts = connected_components(found.where("class != root").select("class", "root").distinct(), "class", "root")
-    counts = found.groupBy("class").agg(F.sum("n").alias("n"))
+    edges = found.where("class != root").select(F.col("class").alias("left"), F.col("root").alias("right")).distinct()
+    named = name_components(different.select("class", "first", "weight"), edges, "class", "first", "component")
+    counts = found.groupBy("class").agg(F.sum("n").alias("found"))
+    per_class = named.join(counts, "class", "left").select(
+        "class", (F.coalesce("found", F.lit(0)) + F.col("weight") - 1).alias("links"), "component", F.col("weight").alias("n")
+    )
     known = (
-        classes.select("vec_id", "class", "weight")
-        .join(counts, "class", "left")
-        .join(parts.withColumnRenamed("node", "class"), "class", "left")
-        .groupBy("vec_id").agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.min(F.coalesce("component", "class")).alias("component_id"))
+        join_keys(classes.select("vec_id", "class"), per_class, "class", classes.count())
+        .groupBy("vec_id").agg(F.max("links").alias("n_links"), F.min("component").alias("component_id"))
     )
     out = vectors.select("vec_id").join(known, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
