@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .hot import join_keys
 
 ALLOW, BLOCK = "allow", "block"
 
 #: (verdict, rule); a rule is a host and a path.
 RULES = ((BLOCK, "net/"), (ALLOW, "example.net/en/"), (BLOCK, "example.com/de/"), (ALLOW, "org/fr/"))
-MAX_RULES = 1000
+#: Rules up to which they are one expression; more are a table that is joined with the hosts' parent domains.
+INLINE_RULES = 200
 #: Characters of a gram: the predicted one and its context.
 ORDER = 4
 #: Characters that are equally likely before anything is known.
 ALPHABET = 256
-#: Grams up to which their table is broadcast; beyond it is joined by a shuffle.
+#: Grams up to which their table is broadcast; beyond it only the most frequent ones are, and the rest is shuffled.
 BROADCAST_GRAMS = 300_000
 #: Scores are put into so many classes a unit, between minus and plus LIMIT, to calibrate.
 CLASSES, LIMIT = 50, 8
@@ -40,9 +42,12 @@ def parse(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def apply_rules(df: DataFrame, rules=RULES) -> DataFrame:
-    """Add ``rule`` and ``ruled``: the longest rule for the host or a parent domain and its verdict, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; give at most {MAX_RULES}")
+    """Add ``rule`` and ``ruled``: the longest rule for the host or a parent domain and its verdict, else null.
+
+    Of equally long rules the first in the alphabet counts.  Any number of rules may be given.
+    """
+    if len(rules) > INLINE_RULES:
+        return _join_rules(df, rules)
     rule = verdict = None
     host, path = F.col("host"), F.col("path")
     for value, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
@@ -54,8 +59,23 @@ def apply_rules(df: DataFrame, rules=RULES) -> DataFrame:
     return df.withColumn("rule", none if rule is None else rule).withColumn("ruled", none if verdict is None else verdict)
 
 
-def _grams(host: str, path: str) -> Column:
-    padded = F.concat(F.lit("\u0002" * (ORDER - 1)), F.col(host), F.col(path), F.lit("\u0003"))
+def _join_rules(df: DataFrame, rules) -> DataFrame:
+    """``apply_rules`` by a join: every different host and path meets the rules of the host's parent domains."""
+    spark = df.sparkSession
+    parts = [(text.partition("/")[0], "/" + text.partition("/")[2] if "/" in text else "", text, value) for value, text in rules]
+    table = spark.createDataFrame(parts, "domain string, start string, rule string, ruled string")
+    places = df.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    best = F.min(F.struct((-F.length("rule")).alias("l"), "rule", "ruled")).alias("best")
+    found = (
+        places.withColumn("domain", F.explode(parents)).join(F.broadcast(table), "domain").where(F.col("path").startswith(F.col("start"))).groupBy("host", "path").agg(best)
+    )
+    return df.join(found, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "ruled": F.col("best.ruled")}).drop("best")
+
+
+def _grams(url: str) -> Column:
+    padded = F.concat(F.lit("\u0002" * (ORDER - 1)), F.col(url), F.lit("\u0003"))
     return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{ORDER}}}))"), F.lit(1))
 
 
@@ -80,15 +100,15 @@ def _witten_bell(level: DataFrame, shorter: DataFrame | None, order: int) -> Dat
 
 
 def fit(urls: DataFrame) -> DataFrame:
-    """Log-likelihood difference ``ratio`` of every ``gram`` that occurs in any URL.
+    """Log-likelihood difference ``ratio`` of every ``gram`` that occurs in any URL, and its places ``n`` in different URLs.
 
-    ``urls`` has host, path, ruled and the number ``n`` of rows; rows where ``learn`` is true count.
+    ``urls`` has url, ruled and the number ``n`` of rows; rows where ``learn`` is true count.
     """
     counted = lambda v: F.sum(F.when(F.col("learn") & (F.col("ruled") == v), F.col("n")).otherwise(0))
     longest = (
-        urls.select("ruled", "learn", "n", F.explode(_grams("host", "path")).alias("gram"))
+        urls.select("ruled", "learn", "n", F.explode(_grams("url")).alias("gram"))
         .groupBy("gram")
-        .agg(counted(ALLOW).alias("a"), counted(BLOCK).alias("b"))
+        .agg(counted(ALLOW).alias("a"), counted(BLOCK).alias("b"), F.count("*").alias("places"))
     )
     level = scratch.save(longest, "grams")
     tables = {ORDER: level}
@@ -99,15 +119,20 @@ def fit(urls: DataFrame) -> DataFrame:
     known = None
     for order in range(1, ORDER + 1):
         known = _witten_bell(tables[order], known, order)
-    return scratch.save(known.select("gram", (F.ln("pa") - F.ln("pb")).alias("ratio")), "ratios")
+    ratios = known.select("gram", (F.ln("pa") - F.ln("pb")).alias("ratio")).join(level.select("gram", F.col("places").alias("n")), "gram")
+    found = scratch.save(ratios, "ratios")
+    scratch.drop(level)
+    return found
 
 
 def score(urls: DataFrame, ratios: DataFrame) -> DataFrame:
     """Add ``score``, the mean ratio of a URL's grams; ``urls`` must not repeat a URL."""
-    table = F.broadcast(ratios) if ratios.count() <= BROADCAST_GRAMS else ratios
-    means = (
-        urls.select("url", F.explode(_grams("host", "path")).alias("gram")).join(table, "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
-    )
+    grams = urls.select("url", F.explode(_grams("url")).alias("gram"))
+    if ratios.count() <= BROADCAST_GRAMS:
+        rated = grams.join(F.broadcast(ratios), "gram")
+    else:
+        rated = join_keys(grams, ratios, "gram", ratios.agg(F.sum("n")).first()[0])
+    means = rated.groupBy("url").agg(F.avg("ratio").alias("score"))
     return urls.join(means, "url", "left")
 
 
@@ -142,9 +167,10 @@ def calibrate(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score.
 
-    Null and empty URLs have empty host and path and are scored as such; repeated rows get the same
-    verdict; where the rules give no example of one kind, all other URLs are allowed; other columns
-    are ignored; an empty table gives none.
+    Null and empty URLs have empty host and path and are scored as the empty URL; a URL of any length is
+    scored whole; repeated rows get the same verdict; a score at the threshold is allowed; where the
+    rules give no example of one kind, all other URLs are allowed; other columns are ignored; an empty
+    table gives none.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
     different = rows.groupBy("url").agg(F.count("*").alias("n"))
