@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .hot import add_least
+from .hot import BROADCAST_KEYS, add_least
 
 #: Rounds after which the contraction is taken to be broken.  Each round at least halves the
 #: depth of every tree, so 64 is beyond any graph that fits a cluster.
@@ -41,6 +41,8 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         both = table.union(table.select("b", "a")).toDF("u", "v")
         low = add_least(both, "u", "v", "m", total)
         large = low.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        if total > BROADCAST_KEYS:
+            large = scratch.save(large, "large")  # read twice
         joined = add_least(large, "a", "b", "m", total)
         small = joined.select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
@@ -67,7 +69,6 @@ def name_components(classes: DataFrame, edges: DataFrame, key: str, least: str,
     ``key`` is a long that no two classes share.  A class without edges is a component of its own.
     """
     parts = connected_components(edges, "left", "right").withColumnRenamed("node", key)
-    known = classes.join(parts, key, "left").withColumn("component", F.coalesce("component", key))
-    # drop before the name, which may be the same
-    found = add_least(known.withColumnRenamed("component", "_root"), "_root", least, "_least", classes.count())
-    return found.drop("_root").withColumnRenamed("_least", out)
+    members = scratch.save(parts.join(classes.select(key, F.col(least).alias("_least")), key), "members")
+    named = add_least(members, "component", "_least", "_name", members.count()).select(key, "_name")
+    return classes.join(named, key, "left").withColumn(out, F.coalesce("_name", least)).drop("_name")

@@ -246,14 +246,18 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("hub", [0, 200_000])
-def test_components_of_a_hub(spark, hub):
+def test_components_of_a_hub(spark, monkeypatch, hub):
     """One node with 100 000 edges, the smallest or the largest of all; its edges don't meet in one task."""
+    monkeypatch.setattr(hot, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(graph, "BROADCAST_KEYS", 0)
     edges = spark.range(1, 100_001).select(F.col("id").alias("a"), F.lit(hub).alias("b"))
     rows = graph.connected_components(edges, "a", "b").agg(F.count("*"), F.min("component"), F.max("component")).first()
     assert tuple(rows) == (100_001, min(hub, 1), min(hub, 1))
 
 
-def test_join_of_hot_keys(spark):
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_join_of_hot_keys(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(hot, "BROADCAST_KEYS", broadcast)
     rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.col("id")).alias("key"))
     keys = rows.groupBy("key").agg(F.max("id").alias("top"), F.count("*").alias("n"))
     got = sorted(map(tuple, hot.join_keys(rows, keys, "key", 5000).select("id", "key", "top").collect()))
