@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .bpe import text_batches
+from .hot import looked_up
 
 #: Words of a seed, at most.
 GRAM = 3
@@ -308,7 +309,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
     Null and empty texts are clean; of repeated rows of one doc_id all go if one holds a copy; an empty table of items
     leaves all documents; an empty table of documents gives none.  Only the numbers of the others are
-    looked up; if Spark finds their table small, it is broadcast and the texts stay where they are.
+    looked up; a table of them of checked size is broadcast, and the texts stay where they are.
     """
     found = scratch.save(matches(docs, items, similarity).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(looked_up(found), "doc_id", "left_anti").select(*docs.columns)

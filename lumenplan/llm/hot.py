@@ -11,6 +11,13 @@ from . import scratch
 BROADCAST_KEYS = 100_000
 #: Beyond it, keys with more than this share of all rows are hot; there are at most so many of them, whatever the size.
 HOT_KEYS = 4096
+#: Rows of numbers up to which a saved table that documents are looked up in is broadcast.
+BROADCAST_IDS = 500_000
+
+
+def looked_up(table: DataFrame) -> DataFrame:
+    """A saved table of document numbers, marked for broadcast if it is small; the documents then stay where they are."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def join_keys(rows: DataFrame, keys: DataFrame, key: str, total: int, most: int | None = None) -> DataFrame:
