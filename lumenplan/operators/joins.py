@@ -17,18 +17,18 @@ def nearest_in_time(left: DataFrame, right: DataFrame, time: str, right_time: st
     so no row meets more than three slots.  Right columns are null where there is no match.
     """
     slot = lambda c: F.floor(F.unix_micros(c) / F.lit(tolerance_seconds * 1_000_000))
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
     named = [c for c in right.columns if c not in keys]
     shelves = right.select(*keys, F.struct(*named).alias("_match"), slot(F.col(right_time)).alias("_slot"), F.unix_micros(right_time).alias("_at"))
-    asks = rows.select(*keys, "_row", F.unix_micros(time).alias("_t"), F.explode(F.array(*[slot(F.col(time)) + k for k in (-1, 0, 1)])).alias("_slot"))
+    # the match depends on the keys and the time alone, so no row needs a number of its own
+    asks = left.select(*keys, time).distinct().withColumn("_t", F.unix_micros(time)).withColumn("_slot", F.explode(F.array(*[slot(F.col(time)) + k for k in (-1, 0, 1)])))
     best = (
         asks.join(shelves, [*keys, "_slot"])
         .where(F.abs(F.col("_at") - F.col("_t")) <= tolerance_seconds * 1_000_000)
-        .groupBy("_row")
+        .groupBy(*keys, time)
         .agg(F.min(F.struct(F.abs(F.col("_at") - F.col("_t")).alias("off"), F.col("_at").alias("at"), F.col("_match").alias("match"))).alias("best"))
-        .select("_row", "best.match.*")
+        .select(*keys, time, "best.match.*")
     )
-    return rows.join(best, "_row", "left").drop("_row")
+    return left.join(best, [*keys, time], "left").select(*left.columns, *named)
 
 
 def within_radius(points: DataFrame, places: DataFrame, radius: float, x: str = "x", y: str = "y", px: str = "px", py: str = "py") -> DataFrame:

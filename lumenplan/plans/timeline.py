@@ -45,15 +45,17 @@ def moon_age(rows: DataFrame, new_moons: DataFrame, time: str, keys: list[str])
     return best.withColumn("age_days", (F.unix_micros(time) - F.unix_micros("new_moon")) / F.lit(86_400_000_000.0))
 
 
-def new_moons(instants: DataFrame) -> DataFrame:
-    """New moons from a table of instants a day or less apart: where the phase angle falls back, by linear interpolation."""
-    from pyspark.sql import Window
-
-    phased = instants.withColumn("phase", sky.moon_horizon("instant", F.lit(0.0), F.lit(0.0))["phase"]).withColumn("_y", F.year("instant"))
-    w = Window.partitionBy("_y").orderBy("instant")
-    rows = phased.withColumn("_b", F.lag("phase").over(w)).withColumn("_t", F.lag("instant").over(w)).where(F.col("_b") > F.col("phase") + 180)
-    share = (360 - F.col("_b")) / (F.col("phase") + 360 - F.col("_b"))
-    return rows.select(F.timestamp_micros((F.unix_micros("_t") + share * (F.unix_micros("instant") - F.unix_micros("_t"))).cast("long")).alias("new_moon"))
+def new_moons(instants: DataFrame, step_days: float = 1.0) -> DataFrame:
+    """New moons within ``step_days`` after each of the instants: where the phase angle falls back, by linear interpolation.
+
+    Both ends of a step are computed in its row, so the instants need no order.
+    """
+    step = int(step_days * 86_400_000_000)
+    phase = lambda t: sky.moon_horizon(t, F.lit(0.0), F.lit(0.0))["phase"]
+    later = F.timestamp_micros(F.unix_micros("instant") + F.lit(step))
+    rows = instants.withColumn("_next", later).withColumn("_b", phase("instant")).withColumn("_a", phase("_next")).where(F.col("_b") > F.col("_a") + 180)
+    share = (360 - F.col("_b")) / (F.col("_a") + 360 - F.col("_b"))
+    return rows.select(F.timestamp_micros((F.unix_micros("instant") + share * F.lit(step)).cast("long")).alias("new_moon"))
 
 
 def ruler(rows: DataFrame, start: str, hours: int = 24, step: int = 2) -> DataFrame:

@@ -571,14 +571,14 @@ def dedupe_finest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "upsert_latest",
-    """WITH n AS (SELECT user_id AS id, max(epoch_us(ts)) AS updated_us FROM events WHERE event_id % 7 = 0 GROUP BY 1), h AS (SELECT user_id AS id, min(epoch_us(ts)) AS updated_us FROM events GROUP BY 1)
+    """WITH n AS (SELECT user_id AS id, max(epoch_us(ts)) AS updated_us FROM events WHERE event_type = 'purchase' GROUP BY 1), h AS (SELECT user_id AS id, min(epoch_us(ts)) AS updated_us FROM events GROUP BY 1)
     SELECT * FROM (SELECT * FROM n UNION ALL SELECT * FROM h WHERE id NOT IN (SELECT id FROM n)) ORDER BY updated_us DESC, id LIMIT 500""",
 )
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved rows with newer ones in their place, the 500 latest."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.unix_micros("ts").alias("updated_us"), "event_id")
+    """First seen users with their latest purchase in its place, the 500 latest."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.unix_micros("ts").alias("updated_us"), "event_type")
     held = e.groupBy("id").agg(F.min("updated_us").alias("updated_us"))
-    return joins.upsert(held, e.where("event_id % 7 = 0").drop("event_id"), "id", "updated_us", 500)
+    return joins.upsert(held, e.where("event_type = 'purchase'").drop("event_type"), "id", "updated_us", 500)
 
 
 @query(
@@ -772,7 +772,8 @@ def milky_way_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("moon_age")
 def moon_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days since the latest new moon at every event."""
-    days = spark.range(0, 400).select(F.timestamp_micros(F.lit(1688169600000000) + F.col("id") * 86400000000).alias("instant"))
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("instant"))
+    range_of = rows.agg(F.date_sub(F.min("instant"), 40).cast("timestamp").alias("first"), F.date_trunc("day", F.max("instant")).alias("last"))
+    days = range_of.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))).alias("instant"))
     aged = timeline.moon_age(rows, timeline.new_moons(days), "instant", ["event_id"])
     return aged.select("event_id", F.round("age_days", 3).alias("age_days"), sky.phase_name(F.col("age_days") / sky.SYNODIC_DAYS * 360).alias("phase"))

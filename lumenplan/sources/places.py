@@ -118,19 +118,30 @@ def surveyed_structures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STRUCTURE_SCHEMA).option("header", True).csv(path)
 
 
-def geocode(queries: DataFrame, gazetteer: DataFrame, query: str = "query") -> DataFrame:
+def geocode(queries: DataFrame, gazetteer: DataFrame, query: str = "query", any_title: bool = False) -> DataFrame:
     """The best place per query: a literal "lat, lon", else the best title (score, then length, then order).
 
-    ``gazetteer`` has (title, lat, lon, idx).  Titles are matched on a shared first character or, to
-    contain the query, by every character they hold, so that no query meets the whole table.
+    ``gazetteer`` has (title, lat, lon, idx).  A title that holds the query is found by the query's first
+    two characters among the title's pairs, one that the query holds by its own first two among the
+    query's, so that no query meets the whole table.  With ``any_title`` a query that no title fits gets
+    the shortest title (score 4), as for a gazetteer that has been searched before.
     """
     asks = queries.select(query).distinct().withColumn("_q", nfkc(query)).withColumn("_literal", literal_place(query))
     titles = gazetteer.withColumn("_t", nfkc("title"))
-    letters = lambda c: F.array_distinct(F.split(F.col(c), ""))
-    left = asks.where("_literal is null").withColumn("_k", F.substring("_q", 1, 1))
-    right = titles.withColumn("_k", F.explode(letters("_t")))
-    pairs = left.join(right, "_k").withColumn("score", title_score(F.col("_q"), F.col("_t"))).where("score < 4")
-    best = first_per_key(pairs, [query], [F.col("score"), F.length("title"), F.col("idx")]).select(query, "title", "lat", "lon", "score")
+    first = lambda c: F.substring(c, 1, 2)
+    every = lambda c: F.explode(
+        F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda k: F.array(F.substring(F.col(c), k, F.lit(1)), F.substring(F.col(c), k, F.lit(2))))))
+    )
+    left = asks.where("_literal is null and _q != ''")
+    holding = left.withColumn("_k", first("_q")).join(titles.withColumn("_k", every("_t")), "_k")
+    held = left.withColumn("_k", every("_q")).join(titles.where("_t != ''").withColumn("_k", first("_t")), "_k")
+    pairs = holding.unionByName(held).withColumn("score", title_score(F.col("_q"), F.col("_t"))).where("score < 4")
+    order = [F.col("score"), F.length("title"), F.col("idx")]
+    best = first_per_key(pairs, [query], order).select(query, "title", "lat", "lon", "score")
+    if any_title:
+        one = titles.select("title", "lat", "lon", "idx").orderBy(F.length("title"), "idx").limit(1).select("title", "lat", "lon", F.lit(4).alias("score"))
+        rest = left.select(query).join(best.select(query), query, "left_anti")
+        best = best.unionByName(rest.join(F.broadcast(one)))
     literal = asks.where("_literal is not null").select(query, F.col(query).alias("title"), "_literal.lat", "_literal.lon", F.lit(0).alias("score"))
     return queries.join(best.unionByName(literal), query, "left")
 

@@ -10,7 +10,7 @@ from test_functions import png
 
 from lumenplan.functions import optics
 from lumenplan.operators import joins, sampling, windows
-from lumenplan.plans import occlusion, spot, transit
+from lumenplan.plans import occlusion, spot, timeline, transit
 from lumenplan.sources import dem, places, store, weather
 from lumenplan.streaming import jobs
 
@@ -151,6 +151,29 @@ def test_geocode(spark):
     assert got["35.5, 135.5"][1] == 35.5 and got["nothing"] == (None, None)
 
 
+def test_geocode_finds_titles_inside_the_query(spark):
+    g = spark.createDataFrame([("tower", 1.0, 2.0, 0), ("tall tower", 3.0, 4.0, 1), ("x", 5.0, 6.0, 2), ("", 7.0, 8.0, 3)], "title string, lat double, lon double, idx int")
+    q = spark.createDataFrame([("abc tower",), ("tall",), ("axe",), ("qqq",), ("",), (None,)], "query string")
+    got = {r.query: (r.title, r.score) for r in places.geocode(q, g).collect()}
+    assert got == {"abc tower": ("tower", 3), "tall": ("tall tower", 1), "axe": ("x", 3), "qqq": (None, None), "": (None, None), None: (None, None)}
+    assert {r.query: r.score for r in places.geocode(q, g.where("title != ''"), any_title=True).collect()}["qqq"] == 4
+
+
+def test_nearest_in_time_keeps_repeated_rows(spark):
+    left = ts(spark.createDataFrame([(1, "2026-01-01 00:00:00"), (1, "2026-01-01 00:00:00"), (2, "2026-01-01 00:09:00"), (3, None)], "id int, t string"), "t").repartition(3)
+    right = ts(spark.createDataFrame([("a", "2026-01-01 00:01:00"), ("b", "2026-01-01 00:08:00")], "name string, at string"), "at").repartition(2)
+    got = joins.nearest_in_time(left, right, "t", "at", 300)
+    assert got.columns == ["id", "t", "name", "at"]
+    assert sorted((r.id, r.name or "") for r in got.collect()) == [(1, "a"), (1, "a"), (2, "b"), (3, "")]
+    assert "monotonically" not in got._jdf.queryExecution().toString()
+
+
+def test_new_moons_over_the_turn_of_a_year(spark):
+    days = spark.sql("SELECT explode(sequence(TIMESTAMP'2023-11-01', TIMESTAMP'2024-03-01', INTERVAL 1 DAY)) AS instant")
+    found = sorted(r.new_moon.strftime("%Y-%m-%d") for r in timeline.new_moons(days).collect())
+    assert found == ["2023-11-13", "2023-12-12", "2024-01-11", "2024-02-09"]
+
+
 def test_sequences(spark):
     rows = spark.createDataFrame([(1, t, e) for t, e in enumerate([-1.0, 0.0, 1.0, -1.0])], "id int, t int, e double")
     assert windows.sign_changes(rows, ["id"], "t", "e").count() == 2  # the zero counts once
