@@ -16,7 +16,8 @@ from .functions.angles import signed_difference
 from .functions.geodesic import geodesic_direct, geodesic_inverse
 from .operators import joins, ranking, sampling, windows
 from .plans import occlusion, screen, timeline, transit
-from .sources import places, weather
+from .sources import dem, places, weather
+from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -777,3 +778,131 @@ def moon_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = range_of.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 DAY"))).alias("instant"))
     aged = timeline.moon_age(rows, timeline.new_moons(days), "instant", ["event_id"])
     return aged.select("event_id", F.round("age_days", 3).alias("age_days"), sky.phase_name(F.col("age_days") / sky.SYNODIC_DAYS * 360).alias("phase"))
+
+
+@query(
+    "check_presentation",
+    """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'checking' WHEN 1 THEN 'failed' WHEN 2 THEN 'dem-only' ELSE 'dem-and-google-3d' END AS s,
+      CASE user_id % 4 WHEN 0 THEN 'below-horizon' WHEN 1 THEN 'terrain' WHEN 2 THEN 'building-or-surface' ELSE 'none' END AS r, event_type = 'error' AS boundary, value > 50 AS terrain, value > 20 AS mesh, CASE WHEN event_type = 'click' THEN 'late' END AS failure FROM events)
+    SELECT event_id, s NOT IN ('checking', 'failed') AND r IN ('below-horizon', 'terrain', 'building-or-surface') AS hidden,
+      CASE WHEN s = 'checking' THEN 'checking' WHEN s = 'failed' THEN 'unavailable' WHEN boundary THEN 'checking' WHEN r = 'below-horizon' AND s = 'dem-and-google-3d' THEN 'blocked' WHEN r = 'terrain' AND terrain THEN 'blocked'
+        WHEN s = 'dem-and-google-3d' AND r = 'building-or-surface' AND mesh THEN 'blocked' WHEN s = 'dem-only' THEN CASE WHEN failure IS NOT NULL THEN 'unavailable' ELSE 'checking' END END AS shown FROM e""",
+)
+def check_presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of a check's state and reason."""
+    k, u = F.col("event_id") % 4, F.col("user_id") % 4
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.when(k == 0, "checking").when(k == 1, "failed").when(k == 2, "dem-only").otherwise("dem-and-google-3d").alias("s"),
+        F.when(u == 0, "below-horizon").when(u == 1, "terrain").when(u == 2, "building-or-surface").otherwise("none").alias("r"),
+        (F.col("event_type") == "error").alias("boundary"), (F.col("value") > 50).alias("terrain"), (F.col("value") > 20).alias("mesh"), F.when(F.col("event_type") == "click", "late").alias("failure"),
+    )
+    return e.select("event_id", policy.confirmed_hidden("s", "r").alias("hidden"), policy.presentation("s", "r", "boundary", "terrain", "mesh", "failure").alias("shown"))
+
+
+@query(
+    "exclusion_zones",
+    """SELECT o_orderkey, CASE WHEN d < 100 THEN 1.0 WHEN d < 500 THEN 2.0 WHEN d < 2000 THEN 3.0 ELSE 4.0 END::DOUBLE AS band, round(greatest(25.0, least(100.0, d * 0.01::DOUBLE)), 6) AS margin FROM (SELECT o_orderkey, o_totalprice / 37 AS d FROM orders)""",
+)
+def exclusion_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands and margins of excluded distances."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 37).alias("d"))
+    return o.select("o_orderkey", policy.exclusion_by_band("d", *[F.lit(float(k)) for k in (1, 2, 3, 4)]).alias("band"), r6(policy.exclusion_margin("d")).alias("margin"))
+
+
+@query(
+    "stored_settings",
+    """SELECT o_orderkey, CASE WHEN mode IN ('standard', 'pro', 'custom') AND v IS NOT NULL THEN greatest(10.0, least(5000.0, v)) ELSE 100.0 END AS distance, CASE WHEN mode IN ('standard', 'pro', 'custom') AND v IS NOT NULL THEN greatest(0.0, least(1.0, v / 10000)) ELSE 0.5 END AS share
+    FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'standard' WHEN 1 THEN 'pro' WHEN 2 THEN 'custom' ELSE 'odd' END AS mode, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice / 20 END AS v FROM orders)""",
+)
+def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored settings kept in their bounds, with defaults for unknown modes and values."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 4 == 0, "standard").when(k % 4 == 1, "pro").when(k % 4 == 2, "custom").otherwise("odd").alias("mode"), F.when(k % 5 > 0, F.col("o_totalprice") / 20).alias("v"))
+    found = policy.settings("mode", {"distance": (F.col("v"), 100.0, 10.0, 5000.0), "share": (F.col("v") / 10000, 0.5, 0.0, 1.0)})
+    return o.select("o_orderkey", *[c.alias(n) for n, c in found.items()])
+
+
+@query(
+    "frame_segments",
+    """WITH s AS (SELECT p_partkey, p_size * 4.0::DOUBLE - 60 AS x1, (p_partkey % 37) * 5.0::DOUBLE - 40 AS y1, (p_partkey % 53) * 3.0::DOUBLE - 20 AS x2, p_size * 3.0::DOUBLE - 30 AS y2 FROM part),
+    d AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM s),
+    t AS (SELECT *, greatest(0.0, CASE WHEN dx > 0 THEN -x1 / dx WHEN dx < 0 THEN (100 - x1) / dx END, CASE WHEN dy > 0 THEN -y1 / dy WHEN dy < 0 THEN (100 - y1) / dy END) AS a, least(1.0, CASE WHEN dx < 0 THEN -x1 / dx WHEN dx > 0 THEN (100 - x1) / dx END, CASE WHEN dy < 0 THEN -y1 / dy WHEN dy > 0 THEN (100 - y1) / dy END) AS b FROM d)
+    SELECT p_partkey, round(x1 + a * dx, 6) AS ax, round(y1 + a * dy, 6) AS ay, round(x1 + b * dx, 6) AS bx, round(y1 + b * dy, 6) AS by_,
+      round(sqrt(pow(dx / 100 * 2000 * tan(radians(30.0)), 2) + pow(dy / 100 * 2000 * tan(radians(20.0)), 2)), 6) AS metres
+    FROM t WHERE a <= b AND NOT (dx = 0 AND (x1 < 0 OR x1 > 100)) AND NOT (dy = 0 AND (y1 < 0 OR y1 > 100))""",
+)
+def frame_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments clipped to the frame, and their length on the subject's plane."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    s = table(spark, sf_dir, "part").select(
+        "p_partkey", (size * 4.0 - 60).alias("x1"), (k % 37 * 5.0 - 40).alias("y1"), (k % 53 * 3.0 - 20).alias("x2"), (size * 3.0 - 30).alias("y2")
+    )
+    s = s.withColumn("c", optics.clip_segment("x1", "y1", "x2", "y2")).where("c is not null")
+    metres = optics.preview_distance("x1", "y1", "x2", "y2", F.lit(1000.0), F.lit(60.0), F.lit(40.0))
+    return s.select("p_partkey", r6("c.x1").alias("ax"), r6("c.y1").alias("ay"), r6("c.x2").alias("bx"), r6("c.y2").alias("by_"), r6(metres).alias("metres"))
+
+
+@query(
+    "display_texts",
+    """SELECT o_orderkey, CASE WHEN m < 1000 THEN printf('%d m', floor(m + 0.5)::BIGINT) ELSE printf('%.1f km', m / 1000) END AS distance,
+      CASE WHEN s < 60 THEN printf('%d s', s) WHEN s < 3600 THEN printf('%d min %d s', s // 60, s % 60) ELSE printf('%d h %d min', s // 3600, s // 60 % 60) END AS duration, printf('%d %%', floor(m * 100 / 700000 + 0.5)::BIGINT) AS share
+    FROM (SELECT o_orderkey, floor(o_totalprice / (1 + o_orderkey % 400)) + 0.37::DOUBLE AS m, floor(o_totalprice / (1 + o_orderkey % 400) / 7 + 0.5)::BIGINT AS s FROM orders)""",
+)
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances, durations and shares as text."""
+    v = F.col("o_totalprice") / (1 + F.col("o_orderkey") % 400)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor(v) + F.lit(0.37)).alias("m"), (v / 7).alias("s"))
+    return o.select("o_orderkey", text.distance_text("m").alias("distance"), text.duration_text("s").alias("duration"), text.percent_text("m", F.lit(700000)).alias("share"))
+
+
+@query(
+    "ruler_ticks",
+    """SELECT o_orderkey, h::INTEGER AS hour, epoch_us(o_orderdate) // 1000000 + h * 3600 AS tick, round(h * 100.0 / 24, 6)::DOUBLE AS percent FROM orders, (SELECT unnest(range(0, 25, 2)) AS h)""",
+)
+def ruler_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks every two hours of a day's ruler."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return timeline.ruler(o, "o_orderdate").select("o_orderkey", "hour", F.floor(F.unix_micros("tick") / 1000000).alias("tick"), r6("percent").alias("percent"))
+
+
+@query(
+    "ellipsoidal_heights",
+    """SELECT c_custkey, round(coalesce(h + g, w), 6) AS ellipsoidal, CASE WHEN h IS NOT NULL THEN 'dem' WHEN w IS NOT NULL THEN 'world' END AS resolved
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal / 10 END AS h, 30.0::DOUBLE + c_nationkey AS g, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal / 9 END AS w FROM customer)""",
+)
+def ellipsoidal_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights from terrain and geoid, else from the world terrain."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    points = c.select("c_custkey", F.when(k % 3 > 0, F.col("c_acctbal") / 10).alias("height"), (F.lit(30.0) + F.col("c_nationkey")).alias("geoid_height"))
+    world = c.where(k % 4 > 0).select("c_custkey", (F.col("c_acctbal") / 9).alias("height"))
+    return dem.with_fallback(points, world, "c_custkey").select("c_custkey", r6("ellipsoidal").alias("ellipsoidal"), "resolved")
+
+
+@query("stage_totals", """SELECT event_type AS stage, count(*) AS n, round(sum(value), 3) AS seconds, max(value) AS longest FROM events GROUP BY 1""")
+def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and seconds per stage."""
+    found = jobs.stage_counters(table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
+    return found.select("stage", "n", F.round("seconds", 3).alias("seconds"), "longest")
+
+
+@query(
+    "newest_generation",
+    """WITH e AS (SELECT event_id, user_id, dayofyear(ts)::INTEGER AS generation FROM events) SELECT event_id, user_id, generation FROM e WHERE generation = (SELECT max(generation) FROM e AS o WHERE o.user_id = e.user_id)""",
+)
+def newest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of the newest generation per user."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.dayofyear("ts").alias("generation"))
+    return jobs.current_generation(e, ["user_id"]).select("event_id", "user_id", "generation")
+
+
+@query(
+    "known_place_fields",
+    """SELECT p_partkey, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_brand END, p_type) AS place_id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS feature_id, coalesce(p_brand, p_name) AS name FROM part""",
+)
+def known_place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field of a place the first source that knows it (A5)."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    one = F.struct(F.when(k % 2 == 0, F.col("p_brand")).alias("place_id"), none.alias("feature_id"), none.alias("cid"), F.col("p_brand").alias("name"))
+    two = F.struct(F.col("p_type").alias("place_id"), F.when(k % 3 == 0, F.col("p_name")).alias("feature_id"), none.alias("cid"), F.col("p_name").alias("name"))
+    found = table(spark, sf_dir, "part").select("p_partkey", text.first_known(one, two).alias("f"))
+    return found.select("p_partkey", "f.place_id", "f.feature_id", "f.name")
