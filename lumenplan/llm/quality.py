@@ -63,12 +63,9 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return random.integers(0, DIMS, (ROWS, NONZERO)), random.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 
-_rows = _Rows()
-
-
-def word_rows(text: str | None) -> np.ndarray:
-    """Rows of a text's words, form and letters in turn."""
-    return np.frombuffer(b"".join([_rows[w] for w in (text or "").split()]), "<u4")
+def word_rows(text: str | None, known: _Rows) -> np.ndarray:
+    """Rows of a text's words, form and letters in turn; ``known`` remembers words for the length of a task."""
+    return np.frombuffer(b"".join([known[w] for w in (text or "").split()]), "<u4")
 
 
 def _word_vector_sums(df: DataFrame, text: str) -> DataFrame:
@@ -78,10 +75,11 @@ def _word_vector_sums(df: DataFrame, text: str) -> DataFrame:
     def run(batches):
         places, signs = index_vectors()
         total = np.zeros(ROWS * DIMS)
+        known = _Rows()
         seen = False
         for _, texts in text_batches(batches, text):
             seen = True
-            rows = np.concatenate([x for t in texts for x in (word_rows(t), [0])]).astype(np.int64)
+            rows = np.concatenate([x for t in texts for x in (word_rows(t, known), [0])]).astype(np.int64)
             for gap in range(1, WINDOW + 1):
                 for a, b in ((rows[:-gap], rows[gap:]), (rows[gap:], rows[:-gap])):
                     for k in range(NONZERO):
@@ -103,9 +101,9 @@ class Model:
     layers: list[np.ndarray]
     temperature: float
 
-    def pool(self, text: str | None) -> np.ndarray:
+    def pool(self, text: str | None, known: _Rows) -> np.ndarray:
         """Mean and spread of the word vectors; zeros for a text without words."""
-        rows = word_rows(text)
+        rows = word_rows(text, known)
         total, squares = np.zeros(DIMS), np.zeros(DIMS)
         for k in range(0, len(rows), CHUNK):
             part = self.words[rows[k : k + CHUNK]]
@@ -178,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SA
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def pooled(batches):
+        known = _Rows()
         for part, texts in text_batches(batches, text):
-            x = np.stack([shared.value.pool(t) for t in texts])
+            x = np.stack([shared.value.pool(t, known) for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("quality"), pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64()))],
                 ["doc_id", "quality", "x"],
@@ -206,8 +205,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        known = _Rows()
         for part, texts in text_batches(batches, text):
-            p = shared.value.probability(np.stack([shared.value.pool(t) for t in texts])) if texts else np.zeros(0)
+            p = shared.value.probability(np.stack([shared.value.pool(t, known) for t in texts])) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(p)], [*(f.name for f in fields), out])
 
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
