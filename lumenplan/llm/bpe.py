@@ -119,6 +119,13 @@ class Vocabulary:
         self.later = _Remembered(lambda piece: self._encode_piece(" " + piece))
         self._fits: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts, at the end of a task; the tables stay."""
+        for pieces in (self.first, self.later):
+            pieces.clear()
+            pieces.older = {}
+        self._fits.clear()
+
     def fits(self, a: int, b: int) -> bool:
         """True if token ``a`` followed by ``b`` stays as it is when the merges run."""
         if len(self._fits) >= CACHED_PAIRS:
@@ -264,6 +271,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array([v.encode(t) for t in texts], pa.binary())], [*part.schema.names, ids]
             )
+        v.forget()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.BinaryType())]))
 
@@ -302,6 +310,7 @@ def encode_decode(
                 [*(part.column(k) for k in keep), pa.array(encoded, pa.binary()), pa.array(back, pa.string())],
                 [*keep, ids, decoded],
             )
+        v.forget()
 
     schema = T.StructType([*fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
     return df.mapInArrow(run, schema)
