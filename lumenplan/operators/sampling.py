@@ -103,6 +103,17 @@ def directional_candidates(df: DataFrame, lat: str, lon: str, azimuth: str, dist
     return df.withColumn("_p", geodesic_direct(lat, lon, back, F.lit(distance))).select("*", F.col("_p.lat").alias("candidate_lat"), F.col("_p.lon").alias("candidate_lon")).drop("_p")
 
 
+def follow_bodies(bodies: DataFrame, previous: DataFrame, keys: list[str], lat: str, lon: str, least_altitude: float = 0.25) -> DataFrame:
+    """Earlier places of the tripod moved along with bodies that have moved, at the distances found earlier.
+
+    ``bodies`` has the subject's ``lat`` and ``lon``, ``azimuth`` and ``altitude``; ``previous`` has
+    ``distance``.  Bodies that are low or had no place are left out.
+    """
+    seen = bodies.where(F.col("altitude") > least_altitude).join(previous.select(*keys, "distance"), keys)
+    rows = seen.withColumn("bearing", F.pmod(F.col("azimuth") + 180, F.lit(360.0)))
+    return rows.withColumn("_p", geodesic_direct(lat, lon, "bearing", "distance")).select("*", F.col("_p.lat").alias("candidate_lat"), F.col("_p.lon").alias("candidate_lon")).drop("_p")
+
+
 def prefetch_points(df: DataFrame, lat: str, lon: str, low, high, start=None, end=None, steps: int = 12) -> DataFrame:
     """The origin and ``steps`` distances along bearings: every 5 degrees of a band, else 24 around."""
     if start is None:

@@ -16,7 +16,7 @@ from .functions.angles import signed_difference
 from .functions.geodesic import geodesic_direct, geodesic_inverse
 from .operators import joins, ranking, sampling, windows
 from .plans import occlusion, screen, timeline, transit
-from .sources import dem, places, weather
+from .sources import dem, places, store, weather
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -906,3 +906,169 @@ def known_place_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.struct(F.col("p_type").alias("place_id"), F.when(k % 3 == 0, F.col("p_name")).alias("feature_id"), none.alias("cid"), F.col("p_name").alias("name"))
     found = table(spark, sf_dir, "part").select("p_partkey", text.first_known(one, two).alias("f"))
     return found.select("p_partkey", "f.place_id", "f.feature_id", "f.name")
+
+
+_ASIDE = "SELECT p_partkey, p_size * 3.0::DOUBLE AS l, (p_partkey * 7 % 360)::DOUBLE AS b, p_size * 0.1::DOUBLE * (p_partkey % 37) AS d, (p_partkey * 7 % 360 + (p_partkey % 11 - 5) * 9)::DOUBLE AS a FROM part"
+
+
+@query(
+    "foreground_between",
+    f"""SELECT p_partkey, round(d, 6) AS d, l > 0.02 AND d * cos(radians(a - b)) BETWEEN least(0.25, l * 0.005) AND l - least(0.25, l * 0.005)
+      AND abs(d * sin(radians(a - b))) <= greatest(5.0, least(30.0, l * 0.2)) AS inside FROM ({_ASIDE})""",
+)
+def foreground_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a foreground place lies between tripod and subject."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", (size * 3.0).alias("l"), (k * 7 % 360).cast("double").alias("b"), (size * F.lit(0.1) * (k % 37)).alias("d"), (k * 7 % 360 + (k % 11 - 5) * 9).cast("double").alias("a")
+    )
+    return p.select("p_partkey", r6("d").alias("d"), features.between_ends("l", "b", "d", "a").alias("inside"))
+
+
+@query(
+    "moved_candidates",
+    """SELECT o_orderkey, round((o_orderkey * 13 % 360 + 180) % 360, 6)::DOUBLE AS bearing, round(c_acctbal + 2000, 6) AS distance
+    FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'FURNITURE' AND o_orderkey % 80 - 10 > 0.25""",
+)
+def moved_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with the distances of their previous candidates."""
+    k = F.col("o_orderkey")
+    bodies = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("id"), lat_of("o_orderkey").alias("lat"), lon_of("o_orderkey").alias("lon"), (k * 13 % 360).cast("double").alias("azimuth"), (k % 80 - 10).alias("altitude")
+    )
+    previous = table(spark, sf_dir, "customer").where("c_mktsegment <> 'FURNITURE'").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") + 2000).alias("distance"))
+    return sampling.follow_bodies(bodies, previous, ["id"], "lat", "lon").select("o_orderkey", r6("bearing").alias("bearing"), r6("distance").alias("distance"))
+
+
+@query(
+    "search_periods",
+    """WITH e AS (SELECT event_id, ts, date_trunc('day', ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR AS d FROM events)
+    SELECT event_id, epoch_us(d) // 1000000 AS days_from, epoch_us(d + INTERVAL 90 DAY) // 1000000 AS days_to, epoch_us(ts) AS months_from, epoch_us(ts + INTERVAL 9 HOUR + INTERVAL 6 MONTH - INTERVAL 9 HOUR) AS months_to FROM e""",
+)
+def search_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods of transit and spot searches that begin at every event, in Tokyo."""
+    zone = "Asia/Tokyo"
+    rows = table(spark, sf_dir, "events").select("event_id", zoned.transit_period("ts", zone, "3-months").alias("t"), zoned.spot_period("ts", zone, "6-months").alias("s"))
+    seconds = lambda c: F.floor(F.unix_micros(c) / 1000000)
+    return rows.select(
+        "event_id", seconds("t.start").alias("days_from"), seconds("t.end").alias("days_to"), F.unix_micros("s.start").alias("months_from"), F.unix_micros("s.end").alias("months_to")
+    )
+
+
+_PLACED = f"SELECT event_id, {sql_lat('event_id')} AS lat, {sql_lon('event_id')} AS lon FROM events"
+
+
+@query(
+    "geoid_heights",
+    f"""WITH p AS ({_PLACED}), g AS (SELECT floor({sql_lat("s_suppkey")} * 100 + 0.5) AS a, floor({sql_lon("s_suppkey")} * 100 + 0.5) AS o, max(s_acctbal / 300) AS h FROM supplier GROUP BY ALL)
+    SELECT event_id, round(h, 6) AS geoid_height FROM p LEFT JOIN g ON floor(lat * 100 + 0.5) = a AND floor(lon * 100 + 0.5) = o""",
+)
+def geoid_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geoid's height in the cell of every event."""
+    points = table(spark, sf_dir, "events").select("event_id", lat_of("event_id").alias("lat"), lon_of("event_id").alias("lon"))
+    geoid = table(spark, sf_dir, "supplier").select(lat_of("s_suppkey").alias("lat"), lon_of("s_suppkey").alias("lon"), (F.col("s_acctbal") / 300).alias("geoid_height"))
+    return dem.geoid_lookup(points, geoid).select("event_id", r6("geoid_height").alias("geoid_height"))
+
+
+@query(
+    "geoid_requests",
+    f"""SELECT floor(lat * 100 + 0.5)::INTEGER AS region_lat, floor(lon * 100 + 0.5)::INTEGER AS region_lon, count(*) AS n, round(min_by(lat, event_id), 6) AS lat, round(min_by(lon, event_id), 6) AS lon FROM ({_PLACED}) GROUP BY 1, 2""",
+)
+def geoid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One geoid request per region."""
+    points = table(spark, sf_dir, "events").select("event_id", lat_of("event_id").alias("lat"), lon_of("event_id").alias("lon"))
+    return dem.region_representatives(points, "lat", "lon", "event_id").select("region_lat", "region_lon", "n", r6("lat").alias("lat"), r6("lon").alias("lon"))
+
+
+@query(
+    "precise_heights",
+    """SELECT c_custkey, CASE WHEN d <= 2000 THEN '1m' WHEN d <= 20000 THEN '5m' ELSE '10m' END AS detail, round(c_acctbal / 10 + 30 + c_nationkey, 6) AS ellipsoidal FROM (SELECT *, c_acctbal * 4 AS d FROM customer)""",
+)
+def precise_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail by distance and heights that must be of the highest precision."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", dem.detail_for(F.col("c_acctbal") * 4).alias("detail"), (F.col("c_acctbal") / 10).alias("height"), (F.lit(30.0) + F.col("c_nationkey")).alias("geoid_height"))
+    return dem.required(c).select("c_custkey", "detail", r6("ellipsoidal").alias("ellipsoidal"))
+
+
+@query(
+    "latest_job_records",
+    """SELECT client_id, job_id, epoch_us(ts) AS updated_us, status FROM (SELECT user_id % 7 AS client_id, user_id AS job_id, ts, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+)
+def latest_job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest record of every job."""
+    e = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 7).alias("client_id"), F.col("user_id").alias("job_id"), F.col("ts").alias("updated_at"), F.col("event_type").alias("status"), F.col("event_id").alias("progress_percent")
+    )
+    return store.latest_jobs(e).select("client_id", "job_id", F.unix_micros("updated_at").alias("updated_us"), "status")
+
+
+@query(
+    "cached_answers",
+    """SELECT o_orderkey, sha256('{"a":"' || o_orderstatus || '","b":' || o_custkey || '}') AS key FROM orders
+    WHERE o_orderstatus = 'O' AND o_orderdate + INTERVAL 30 DAY > (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY""",
+)
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of cached answers of one version that have not expired."""
+    o = table(spark, sf_dir, "orders")
+    now = F.lit(o.agg(F.max("o_orderdate")).first()[0]).cast("timestamp") - F.expr("INTERVAL 365 DAYS")
+    key = store.request_key(F.struct(F.col("o_orderstatus").alias("a"), F.col("o_custkey").alias("b")))
+    cache = o.select("o_orderkey", key.alias("key"), (F.col("o_orderstatus") == "O").cast("int").alias("version"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+    return store.fresh(cache, now, 1).select("o_orderkey", "key")
+
+
+@query(
+    "prepared_searches",
+    """SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-04-15' - INTERVAL 90 DAY) WHERE rn <= 120""",
+)
+def prepared_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest prepared searches of every client."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("created_at"))
+    return ranking.newest_within(e, ["user_id"], "created_at", store.PREPARED_DAYS, F.lit("2024-04-15").cast("timestamp"), store.PREPARED).select("event_id", "user_id")
+
+
+_CATEGORY = "CASE event_type WHEN 'click' THEN 'cache-hit' WHEN 'view' THEN 'network' WHEN 'error' THEN 'failed' ELSE 'shared' END"
+
+
+@query(
+    "network_events",
+    f"""SELECT kind, count(*) FILTER (c = 'cache-hit') AS "cache-hit", count(*) FILTER (c = 'network') AS network, count(*) FILTER (c = 'shared') AS shared, count(*) FILTER (c = 'failed') AS failed FROM (SELECT user_id % 5 AS kind, {_CATEGORY} AS c FROM events) GROUP BY 1""",
+)
+def network_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network events by kind and category."""
+    return jobs.network_summary(table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("kind"), F.expr(_CATEGORY).alias("category")))
+
+
+@query(
+    "stalled_jobs",
+    """SELECT event_id, CASE WHEN status IS NULL AND age > 30 THEN 'missing' WHEN status = 'queued' AND age > 45 THEN 'queued' WHEN status = 'running' AND age > 90 THEN 'stalled' END AS stall
+    FROM (SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'completed' END AS status, (epoch_us(date_trunc('hour', ts) + INTERVAL 1 HOUR) - epoch_us(ts)) / 1000000 AS age FROM events)""",
+)
+def stalled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that are missing, queued or running for too long."""
+    k = F.col("event_id") % 4
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.when(k == 1, "queued").when(k == 2, "running").when(k == 3, "completed").alias("status"), F.col("ts").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"),
+        (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).alias("now"),
+    )
+    return jobs.stalled(e, F.col("now")).select("event_id", "stall")
+
+
+@query(
+    "mesh_bases",
+    """SELECT l_orderkey, min(h) AS base, max(h) AS roof, abs(min(h) - (l_orderkey % 40)) <= 5 AS base_agrees FROM (SELECT l_orderkey, l_quantity::DOUBLE AS h FROM lineitem) GROUP BY 1""",
+)
+def mesh_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and roof of the mesh hits of a place."""
+    hits = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("double").alias("mesh_height"), (F.col("l_orderkey") % 40).alias("ground"))
+    return occlusion.mesh_base(hits, ["l_orderkey"]).select("l_orderkey", "base", "roof", "base_agrees")
+
+
+@query(
+    "feature_centres",
+    """SELECT l_orderkey, round(avg(l_quantity), 6) AS x, round(avg(l_linenumber * 2.5::DOUBLE), 6) AS y FROM lineitem GROUP BY 1""",
+)
+def feature_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of a feature's vertices."""
+    vertex = F.struct(F.col("l_quantity").cast("double").alias("x"), (F.col("l_linenumber") * 2.5).alias("y"))
+    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(vertex)).alias("points"))  # few vertices a feature
+    return f.select("l_orderkey", features.centroid("points").alias("c")).select("l_orderkey", r6("c.x").alias("x"), r6("c.y").alias("y"))

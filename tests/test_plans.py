@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_functions import png
 
-from lumenplan.functions import optics
+from lumenplan.functions import features, optics
+from lumenplan.functions.geodesic import geodesic_inverse
 from lumenplan.operators import joins, sampling, windows
 from lumenplan.plans import occlusion, spot, timeline, transit
 from lumenplan.sources import dem, places, store, weather
@@ -244,3 +245,24 @@ def test_stalls_and_checkpoints(spark):
     assert jobs.checkpoints(df).count() == 2
     late = F.to_timestamp(F.lit("2026-01-01 00:00:50"))
     assert [r.stall for r in jobs.stalled(df.limit(1), late).collect()] == ["queued"]
+
+
+def test_foreground_between_tripod_and_subject(spark):
+    # 100 m long: 0.25 m off the ends and 20 m off the line at most; the bearing passes north
+    rows = [
+        ("middle", 100.0, 359.0, 50.0, 1.0, True), ("at the tripod", 100.0, 359.0, 0.2, 359.0, False), ("at the subject", 100.0, 359.0, 99.8, 359.0, False), ("behind", 100.0, 0.0, 10.0, 180.0, False),
+        ("19 m aside", 100.0, 0.0, 53.49, 20.8, True), ("21 m aside", 100.0, 0.0, 54.23, 22.8, False), ("one place", 0.01, 0.0, 0.005, 0.0, False), ("unknown", 100.0, 0.0, None, 0.0, False),
+        ("5 m aside of 10 m", 10.0, 90.0, 7.0, 134.0, True), ("31 m aside of 900 m", 900.0, 90.0, 400.0, 94.5, False),
+    ]
+    df = spark.createDataFrame(rows, "name string, l double, b double, d double, a double, inside boolean")
+    for r in df.withColumn("got", features.between_ends("l", "b", "d", "a")).collect():
+        assert r["got"] == r["inside"], r["name"]
+
+
+def test_follow_bodies_keeps_the_distance(spark):
+    bodies = spark.createDataFrame([("sun", 35.0, 139.0, 100.0, 20.0), ("moon", 35.0, 139.0, 200.0, 0.25), ("star", 35.0, 139.0, 5.0, 30.0)], "id string, lat double, lon double, azimuth double, altitude double")
+    previous = spark.createDataFrame([("sun", 1500.0), ("moon", 900.0)], "id string, distance double")
+    moved = sampling.follow_bodies(bodies, previous, ["id"], "lat", "lon")
+    back = moved.withColumn("g", geodesic_inverse("lat", "lon", "candidate_lat", "candidate_lon")).select("id", "g.*").collect()
+    assert [r["id"] for r in back] == ["sun"]  # the moon is low, the star had no place
+    assert back[0]["distance"] == pytest.approx(1500, abs=1e-5) and back[0]["azimuth"] == pytest.approx(280, abs=1e-6)
