@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,6 +102,19 @@ def disc_in_frame(projected: Column, altitude, diameter, h_fov, v_fov, vertical_
     )
 
 
+def frame_series(azimuth, altitude, diameter, bearing, elevation, h_fov, v_fov) -> tuple[np.ndarray, np.ndarray]:
+    """In numpy: whether any of a disc (of no size for a star) is in the frame, and its distance from the middle in degrees."""
+    az, alt, b, e = (np.radians(v) for v in (azimuth, altitude, bearing, elevation))
+    x, y, z = np.cos(alt) * np.sin(az), np.cos(alt) * np.cos(az), np.sin(alt)
+    forward = x * (np.cos(e) * np.sin(b)) + y * (np.cos(e) * np.cos(b)) + z * np.sin(e)
+    right = x * np.cos(b) - y * np.sin(b)
+    up = -x * (np.sin(b) * np.sin(e)) - y * (np.cos(b) * np.sin(e)) + z * np.cos(e)
+    half_h, half_v, half_disc = np.tan(np.radians(h_fov) / 2), np.tan(np.radians(v_fov) / 2), np.tan(np.radians(diameter) / 2)
+    safe = np.where(forward > 1e-8, forward, np.nan)
+    seen = (np.abs(right / safe) <= half_h + half_disc) & (np.abs(up / safe) <= half_v + half_disc) & (altitude + diameter / 2 > -1)
+    return seen, np.degrees(np.arccos(np.clip(forward, -1, 1)))
+
+
 def preview_distance(x1, y1, x2, y2, subject_distance, h_fov, v_fov) -> Column:
     """Metres between two places of the frame, both taken on the plane at the subject."""
     w = F.lit(2.0) * col(subject_distance) * tand(col(h_fov) / 2)

@@ -174,6 +174,35 @@ def sun_series(days: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.n
     return wrap(azimuth), np.degrees(np.arcsin(np.clip(np.sin(phi) * np.sin(dec) + np.cos(phi) * np.cos(dec) * np.cos(h), -1, 1)))
 
 
+@F.pandas_udf(doubles("azimuth", "altitude"))
+def sun(days: pd.Series, lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+    """``sun_series`` for places of the Sun that are asked for again and again; as columns they would grow beyond what is compiled."""
+    azimuth, altitude = sun_series(days.to_numpy(float), lat.to_numpy(float), lon.to_numpy(float))
+    return pd.DataFrame({"azimuth": azimuth, "altitude": altitude})
+
+
+def sun_place_series(days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Geocentric equatorial place of date of the Sun in km, by the same series as the columns."""
+    g = np.radians(np.mod(357.528 + 0.9856003 * days, 360.0))
+    x = np.radians(np.mod(280.460 + 0.9856474 * days + 1.915 * np.sin(g) + 0.020 * np.sin(2 * g), 360.0))
+    tilt = np.radians(23.439 - 0.0000004 * days)
+    km = (1.00014 - 0.01671 * np.cos(g) - 0.00014 * np.cos(2 * g)) * AU_KM
+    return km * np.cos(x), km * np.cos(tilt) * np.sin(x), km * np.sin(tilt) * np.sin(x)
+
+
+def star_series(days: np.ndarray, ra_hours: float, dec_degrees: float) -> tuple[np.ndarray, np.ndarray]:
+    """Right ascension and declination of date of a J2000 position in radians, by the same precession as the columns."""
+    t = days / 36525.0
+    zeta = np.radians((2306.2181 * t + 0.30188 * t**2 + 0.017998 * t**3) / 3600)
+    z = np.radians((2306.2181 * t + 1.09468 * t**2 + 0.018203 * t**3) / 3600)
+    theta = np.radians((2004.3109 * t - 0.42665 * t**2 - 0.041833 * t**3) / 3600)
+    ra, dec = np.radians(ra_hours * 15) + zeta, np.radians(dec_degrees)
+    a = np.cos(dec) * np.sin(ra)
+    b = np.cos(theta) * np.cos(dec) * np.cos(ra) - np.sin(theta) * np.sin(dec)
+    c = np.sin(theta) * np.cos(dec) * np.cos(ra) + np.cos(theta) * np.sin(dec)
+    return np.arctan2(a, b) + z, np.arcsin(np.clip(c, -1, 1))
+
+
 PHASES = ("new", "waxing crescent", "first quarter", "waxing gibbous", "full", "waning gibbous", "last quarter", "waning crescent")
 
 
@@ -252,7 +281,7 @@ def moon(days: pd.Series, lat: pd.Series, lon: pd.Series, height: pd.Series) ->
     """Topocentric place, phase, lit fraction, and the angles of its north and its bright limb from straight up."""
     n, phi, lam = days.to_numpy(float), np.radians(lat.to_numpy(float)), lon.to_numpy(float)
     s = moon_series(n)
-    hour = np.radians(280.46061837 + 360.98564736629 * n + lam - s["ra"])
+    hour = np.radians(np.mod(280.46061837 + 360.98564736629 * n + lam, 360.0) - s["ra"])
     dec = np.radians(s["dec"])
     ratio = 1 - 1 / 298.257223563
     u = np.arctan(ratio * np.tan(phi))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import first_per_key
 
@@ -89,24 +93,75 @@ def rate_average(df: DataFrame, keys: list[str], time: str, percent: str, weight
     """Per key the smoothed milliseconds a per cent and the seconds left, from updates folded in order of time.
 
     An update counts if the percentage has grown and ``least_seconds`` have passed since the last that
-    counted; the first one only sets the start.
+    counted; the first one only sets the start.  Updates without a percentage or an instant are left out.
+    The rows are dealt by key and sorted, and an Arrow iterator carries one state on from batch to batch, so
+    a key's history may have any length.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(time).alias("t"), F.least(F.greatest(F.floor(F.col(percent) + 0.5), F.lit(0)), F.lit(100)).cast("double").alias("p"))))
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(0.0).alias("p"), F.lit(0.0).alias("now"), F.lit(None).cast("double").alias("rate"))
-
-    def step(s: Column, u: Column) -> Column:
-        now = F.greatest(s["now"], u["p"])
-        gone, grown = (u["t"] - s["t"]) / F.lit(1000.0), now - s["p"]
-        counts = s["t"].isNotNull() & (now < 100) & (grown > 0) & (gone >= F.lit(least_seconds * 1000))
-        measured = gone / F.when(grown > 0, grown)
-        rate = F.when(counts, F.coalesce(s["rate"] * (1 - weight) + measured * weight, measured)).otherwise(s["rate"])
-        return F.struct(
-            F.when(counts | s["t"].isNull(), u["t"]).otherwise(s["t"]).alias("t"), F.when(counts, now).otherwise(s["p"]).alias("p"), now.alias("now"), rate.alias("rate")
-        )
-
-    done = df.groupBy(*keys).agg(F.aggregate(ordered, start, step).alias("s"))
-    left = F.least(F.lit(86400.0), F.greatest(F.lit(1.0), F.floor(F.col("s.rate") * (100 - F.col("s.now")) / 1000 + 0.5)))
-    return done.select(*keys, F.col("s.now").alias("percent"), F.col("s.rate").alias("ms_per_percent"), F.when((F.col("s.now") > 0) & (F.col("s.now") < 100), left).alias("seconds_left"))
+    p = F.least(F.greatest(F.floor(F.col(percent) + 0.5), F.lit(0)), F.lit(100)).cast("double")
+    rows = df.where(F.col(percent).isNotNull() & F.col(time).isNotNull()).select(*keys, F.unix_micros(time).alias("_t"), p.alias("_p"))
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_t", "_p")
+    least = least_seconds * 1e6
+
+    def fold(state: tuple, t: np.ndarray, p: np.ndarray) -> tuple:
+        start, counted, now, rate = state
+        grown = np.maximum.accumulate(np.maximum(p, now))
+        at = 0
+        if start is None:
+            start, at = int(t[0]), 1
+        while True:
+            # the next update that counts: percentages grow, so there are a hundred of a key at most
+            at = max(at, int(np.searchsorted(grown, counted, "right")), int(np.searchsorted(t, start + least, "left")))
+            if at >= len(t) or grown[at] >= 100:
+                return start, counted, float(grown[-1]), rate
+            measured = (int(t[at]) - start) / 1000.0 / (grown[at] - counted)
+            rate = measured if rate is None else rate * (1 - weight) + measured * weight
+            start, counted, at = int(t[at]), float(grown[at]), at + 1
+
+    def run(batches):
+        held, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select(keys)
+            first = held is None or bool(_changes(pa.Table.from_batches([held, own.slice(0, 1)]).combine_chunks().to_batches()[0])[0])
+            if held is not None and first:
+                yield _folded(held, [state])
+            if first:
+                state = (None, 0.0, 0.0, None)
+            t, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_t", "_p"))
+            ends = np.append(np.flatnonzero(_changes(own)) + 1, batch.num_rows)
+            done, begin = [], 0
+            for end in ends:
+                if begin:
+                    done.append(state)
+                    state = (None, 0.0, 0.0, None)
+                state, begin = fold(state, t[begin:end], p[begin:end]), end
+            if done:
+                yield _folded(own.take(pa.array(ends[:-1] - 1)), done)
+            held = own.slice(batch.num_rows - 1, 1)
+        if held is not None:
+            yield _folded(held, [state])
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("percent", T.DoubleType()), T.StructField("ms_per_percent", T.DoubleType())])
+    done = ordered.mapInArrow(run, schema)
+    left = F.least(F.lit(86400.0), F.greatest(F.lit(1.0), F.floor(F.col("ms_per_percent") * (100 - F.col("percent")) / 1000 + 0.5)))
+    return done.withColumn("seconds_left", F.when((F.col("percent") > 0) & (F.col("percent") < 100), left))
+
+
+def _changes(keys: pa.RecordBatch) -> np.ndarray:
+    """True at each row but the last whose keys differ from those of the row after it; nulls are equal."""
+    n = keys.num_rows
+    out = np.zeros(max(n - 1, 0), bool)
+    for c in keys.columns:
+        a, b = c.slice(0, n - 1), c.slice(1)
+        differ = pc.coalesce(pc.not_equal(a, b), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+        out |= differ.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _folded(keys: pa.RecordBatch, states: list[tuple]) -> pa.RecordBatch:
+    values = [pa.array([s[k] for s in states], pa.float64()) for k in (2, 3)]
+    return pa.RecordBatch.from_arrays([*keys.columns, *values], [*keys.schema.names, "percent", "ms_per_percent"])
 
 
 def closest_in_island(df: DataFrame, keys: list[str], order: str, inside: Column, distance: str) -> DataFrame:

@@ -41,13 +41,13 @@ def sun_samples(rows: DataFrame, timing: str = "all", mode: str = "standard") ->
     if timing == "all":
         return out
     out = out.where(F.col("altitude") < 12)
-    shifted = lambda df, minutes, name: sky.add_sun(
-        df.withColumn("_then", F.timestamp_micros(F.unix_micros("instant") + minutes * F.lit(60_000_000))), "_then", azimuth="_az", altitude=name
-    ).withColumn(name, sky.apparent_altitude(F.col(name), mode)).drop("_then", "_az")
-    out = shifted(out, F.lit(10), "_soon").withColumn("rising", F.col("_soon") > F.col("altitude"))
-    out = shifted(out, F.when(F.col("rising"), -360).otherwise(360), "_far").where(F.col("_far") <= 0.25)
+    up = lambda minutes: sky.apparent_altitude(
+        sky.sun(sky.days_since_j2000("instant") + minutes / F.lit(1440.0), F.col("lat").cast("double"), F.col("lon").cast("double"))["altitude"], mode
+    )
+    out = out.withColumn("rising", up(F.lit(10)) > F.col("altitude"))
+    out = out.withColumn("_far", up(F.when(F.col("rising"), -360).otherwise(360))).where(F.col("_far") <= 0.25)
     out = out if timing == "both" else out.where(F.col("rising") if timing == "sunrise" else ~F.col("rising"))
-    return out.drop("_soon", "_far", "rising")
+    return out.drop("_far", "rising")
 
 
 def moon_samples(rows: DataFrame, least_age: float = 0.0, most_age: float = sky.SYNODIC_DAYS, mode: str = "standard") -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import optics, sky
-from ..functions.angles import let, signed_difference
-from ..functions.zoned import in_time_range, minute_of_day, on_weekdays, weekday
-from ..operators.sampling import CROSSING_STEP, instants
-from ..operators.windows import closest_in_island, sign_changes
+from ..functions.angles import let
+from ..operators.roots import bisect_edges
+from ..operators.sampling import CROSSING_STEP
+from ..operators.windows import closest_in_island
+from ..sources.ephemeris import days_of
+from . import passes
 
 BISECTIONS, TERNARY = 20, 32
 
@@ -41,15 +43,23 @@ def direction_crossings(searches: DataFrame, zone: str, weekdays: list[int], fir
     """Instants at which the Sun stands exactly over the subject's bearing.
 
     ``searches`` has id, start, end, lat, lon, bearing, subject_elevation.  Sampled every ten minutes,
-    refined to a second; kept where the Sun is above 0.25 degrees and above the subject.
+    refined to a second; kept where the Sun is above 0.25 degrees and above the subject.  All samples of a
+    window are computed in its row, so nothing is shuffled.
     """
-    rows = instants(searches, "start", "end", CROSSING_STEP)
-    rows = rows.where(on_weekdays(weekday(F.col("instant"), zone), weekdays) & in_time_range(minute_of_day(F.col("instant"), zone), first, last))
-    rows = sky.add_sun(rows).withColumn("error", signed_difference(F.col("azimuth"), F.col("bearing"))).select(*searches.columns, "instant", "error")
-    found = sign_changes(rows, ["id"], "instant", "error")
-    found = found.where(F.unix_micros("instant") - F.unix_micros("previous_instant") <= CROSSING_STEP)
-    edges = found.withColumn("_low", F.unix_micros("previous_instant")).withColumn("_high", F.unix_micros("instant"))
-    exact = refine_roots(edges.select(*searches.columns, "_low", "_high"), "_low", "_high", _azimuth_error, BISECTIONS)
+    rows = passes.eligible_windows(passes.prepared(searches, CROSSING_STEP), zone, weekdays, first, last)
+
+    def find(pdf, t):
+        place = [pdf[c].to_numpy(float) for c in ("lat", "lon", "bearing")]
+
+        def error(micros, at=None):
+            lat, lon, bearing = (p[:, None] if at is None else p[at] for p in place)
+            return passes.signed(sky.sun_series(days_of(micros), lat, lon)[0], bearing)
+
+        r, k = passes.sign_changes(error(t))
+        _, instant = bisect_edges(t[r, k], t[r, k + 1], lambda m: np.sign(error(m, r)), BISECTIONS)
+        return r, {"instant": pd.to_datetime(instant, unit="us", utc=True)}
+
+    exact = passes.scan(rows, searches.columns, "instant timestamp", find)
     placed = sky.add_sun(exact)
     out = placed.select("id", "instant", "azimuth", sky.apparent_altitude(F.col("altitude"), mode).alias("altitude"), "subject_elevation")
     return out.where((F.col("altitude") > 0.25) & (F.col("altitude") >= F.col("subject_elevation")))
@@ -70,11 +80,6 @@ def in_frame(searches: DataFrame, positions: DataFrame, h_fov: str, v_fov: str)
     return closest_in_island(rows, ["id"], "instant", inside, "away")
 
 
-def _azimuth_error(rows: pd.DataFrame, micros: np.ndarray) -> np.ndarray:
-    azimuth, _ = sky.sun_series((micros / 1e6 - 946728000.0) / 86400.0, rows.lat.to_numpy(float), rows.lon.to_numpy(float))
-    return (azimuth - rows.bearing.to_numpy(float) + 540) % 360 - 180
-
-
 def refine_roots(df: DataFrame, low: str, high: str, value: Callable[[pd.DataFrame, np.ndarray], np.ndarray], steps: int = 24, out: str = "instant") -> DataFrame:
     """Bisection of many rows at once by an Arrow function, to one second.
 
@@ -86,12 +91,7 @@ def refine_roots(df: DataFrame, low: str, high: str, value: Callable[[pd.DataFra
     def run(batches):
         for pdf in batches:
             a, b = pdf[low].to_numpy(np.int64), pdf[high].to_numpy(np.int64)
-            fa = value(pdf, a)
-            for _ in range(steps):
-                middle = (a + b) // 2
-                v = value(pdf, middle)
-                go, same = b - a > 1_000_000, np.sign(v) == np.sign(fa)
-                a, b, fa = np.where(go & same, middle, a), np.where(go & ~same, middle, b), np.where(go & same, v, fa)
+            _, b = bisect_edges(a, b, lambda t: np.sign(value(pdf, t)), steps)  # noqa: B023
             yield pdf.assign(**{out: pd.to_datetime(b, unit="us", utc=True)})
 
     return df.mapInPandas(run, schema)

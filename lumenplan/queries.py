@@ -155,7 +155,17 @@ def rise_set_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", second("rise").alias("rise"), second("set").alias("set"))
 
 
-@query("sun_times_refined")
+@query(
+    "sun_times_refined",
+    f"""WITH RECURSIVE g AS (SELECT s_suppkey AS key, {sql_lat("s_suppkey")} AS lat, {sql_lon("s_suppkey")} AS lon, {DAY_START} + i * 120000000 AS t_us FROM supplier, range(0, 721) r(i)),
+    e AS (SELECT *, ((t_us + 32400000000) // 86400000000) AS day, lag(alt) OVER (PARTITION BY key, ((t_us + 32400000000) // 86400000000) ORDER BY t_us) AS before FROM ({sql_sun("SELECT * FROM g")})),
+    f AS (SELECT key, lat, lon, day, alt >= 0 AS rises, min(t_us) AS t FROM e WHERE (before < 0) <> (alt < 0) GROUP BY ALL),
+    b AS (SELECT key, lat, lon, day, rises, t - 120000000 AS a, t AS b, 0 AS k FROM f
+      UNION ALL SELECT key, lat, lon, day, rises, CASE WHEN b - a > 1000000 AND (alt < 0) = rises THEN t_us ELSE a END, CASE WHEN b - a > 1000000 AND (alt < 0) <> rises THEN t_us ELSE b END, k + 1
+      FROM ({sql_sun("SELECT *, (a + b) // 2 AS t_us FROM b WHERE k < 18")})),
+    d AS (SELECT DISTINCT key, day FROM e)
+    SELECT d.key, min(b) FILTER (rises) // 1000000 AS rise, min(b) FILTER (NOT rises) // 1000000 AS set FROM d LEFT JOIN (SELECT * FROM b WHERE k = 18) x USING (key, day) GROUP BY d.key, d.day""",
+)
 def sun_times_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As rise_set_by_day, refined to a second by bisection."""
     k = "s_suppkey"
@@ -549,11 +559,22 @@ def progress_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.running_max(e, ["user_id"], "event_id", "percent").select("event_id", "user_id", "progress")
 
 
-@query("progress_rate")
+@query(
+    "progress_rate",
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, least(99.0, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 0.8) AS x FROM events),
+    u AS (SELECT user_id, t, least(100.0, greatest(0.0, floor(x + 0.5)))::DOUBLE AS p, row_number() OVER (PARTITION BY user_id ORDER BY t, least(100.0, greatest(0.0, floor(x + 0.5)))) AS k FROM e),
+    s AS (SELECT user_id, k, t AS start, 0.0::DOUBLE AS counted, greatest(0.0, p) AS now, NULL::DOUBLE AS rate FROM u WHERE k = 1
+      UNION ALL SELECT user_id, k, CASE WHEN c THEN t ELSE start END, CASE WHEN c THEN most ELSE counted END, most,
+        CASE WHEN c THEN coalesce(rate * 0.75::DOUBLE + (t - start) / 1000.0::DOUBLE / (most - counted) * 0.25::DOUBLE, (t - start) / 1000.0::DOUBLE / (most - counted)) ELSE rate END
+      FROM (SELECT u.user_id, u.k, u.t, s.start, s.counted, s.rate, greatest(s.now, u.p) AS most, greatest(s.now, u.p) < 100 AND greatest(s.now, u.p) > s.counted AND u.t - s.start >= 750000 AS c FROM s JOIN u ON u.user_id = s.user_id AND u.k = s.k + 1))
+    SELECT user_id, now AS percent, round(rate, 6) AS ms_per_percent, CASE WHEN now > 0 AND now < 100 THEN least(86400.0, greatest(1.0, floor(rate * (100 - now) / 1000 + 0.5)))::DOUBLE END AS seconds_left
+    FROM s JOIN (SELECT user_id, max(k) AS k FROM u GROUP BY 1) USING (user_id, k)""",
+)
 def progress_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed rate and time left per user."""
     e = table(spark, sf_dir, "events").withColumn("percent", F.least(F.lit(99.0), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) * 0.8))
-    return windows.rate_average(e, ["user_id"], "ts", "percent")
+    found = windows.rate_average(e, ["user_id"], "ts", "percent")
+    return found.select("user_id", "percent", r6("ms_per_percent").alias("ms_per_percent"), "seconds_left")
 
 
 @query(
@@ -730,7 +751,24 @@ def month_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", step.alias("step"), F.unix_date(F.to_date("instant")).alias("day")).where("step < 12")
 
 
-@query("local_to_instant")
+#: Clock changes of 2026 in local wall time and UTC: first and last hour of summer time.
+_SUMMER = {"new_york": ("2026-03-08 07:00:00", "2026-11-01 06:00:00", 5), "berlin": ("2026-03-29 01:00:00", "2026-10-25 01:00:00", -1)}
+
+
+def _sql_instant(zone: str) -> str:
+    """Four fixed-point steps with the offset that holds at each."""
+    first, last, behind = _SUMMER[zone]
+    t = "w"
+    for _ in range(4):
+        t = f"({t} + w - ({t} + CASE WHEN {t} >= epoch(TIMESTAMP '{first}')::BIGINT AND {t} < epoch(TIMESTAMP '{last}')::BIGINT THEN {(1 - behind) * 3600} ELSE {-behind * 3600} END))"
+    return t
+
+
+@query(
+    "local_to_instant",
+    f"""SELECT o_orderkey, {_sql_instant("new_york")} AS new_york, {_sql_instant("berlin")} AS berlin
+    FROM (SELECT o_orderkey, epoch(TIMESTAMP '2026-01-01')::BIGINT + o_orderkey % 8760 * 3600 AS w FROM orders)""",
+)
 def local_to_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wall clocks of New York and Berlin as instants, over both clock changes."""
     hours = table(spark, sf_dir, "orders").select("o_orderkey", F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit("2026-01-01"))) + F.col("o_orderkey") % 8760 * 3600000000).alias("wall"))
@@ -758,7 +796,7 @@ def body_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("instant"), lat_of("event_id").alias("lat"), lon_of("event_id").alias("lon"))
     fov = optics.fields_of_view(F.lit(24.0), F.lit(1.5))
     seen = screen.screen_points(screen.body_positions(e, "pro"), F.lit(180.0), F.lit(20.0), fov["h"], fov["v"])
-    return seen.select("event_id", "body", *[r6(c).alias(c) for c in ("azimuth", "altitude", "x", "y", "width")], "in_frame")
+    return seen.select("event_id", "body", *[r6(c).alias(c) for c in ("azimuth", "altitude", "width")], *[F.round(c, 3).alias(c) for c in ("x", "y")], "in_frame")
 
 
 @query("milky_way_band")
@@ -767,7 +805,8 @@ def milky_way_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = "s_suppkey"
     rows = table(spark, sf_dir, "supplier").select(F.col(k).alias("key"), F.timestamp_micros(F.lit(1784815200000000)).alias("instant"), lat_of(k).alias("lat"), lon_of(k).alias("lon"))
     fov = optics.fields_of_view(F.lit(14.0), F.lit(1.5))
-    return screen.milky_way_path(rows, F.lit(180.0), F.lit(30.0), fov["h"], fov["v"])
+    found = screen.milky_way_path(rows, F.lit(180.0), F.lit(30.0), fov["h"], fov["v"])
+    return found.select("key", "longitude", r6("altitude").alias("altitude"), *[F.round(c, 3).alias(c) for c in found.columns if c[-2:] in ("_x", "_y")], "visible")
 
 
 @query("moon_age")
@@ -1072,3 +1111,6 @@ def feature_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertex = F.struct(F.col("l_quantity").cast("double").alias("x"), (F.col("l_linenumber") * 2.5).alias("y"))
     f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(vertex)).alias("points"))  # few vertices a feature
     return f.select("l_orderkey", features.centroid("points").alias("c")).select("l_orderkey", r6("c.x").alias("x"), r6("c.y").alias("y"))
+
+
+from . import body_queries  # noqa: E402,F401  registers the queries of bodies
