@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import col
 from ..functions.rasters import SIZE, SOURCES, source_allowed
+from .cells import in_cells, polygon_cells
 from .ranking import first_per_key
 
 
@@ -127,24 +128,13 @@ def higher_of(terrain: DataFrame, surface: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("horizon", F.when(over, s).otherwise(t)).withColumn("source", F.when(over, "surface").otherwise("terrain"))
 
 
-def in_polygon(points: DataFrame, polygons: DataFrame, cell_degrees: float, lat: str, lon: str) -> DataFrame:
-    """Points with the polygons (id, ring of lat/lon, covering cells) that contain them.
+def in_polygon(points: DataFrame, polygons: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Points with the polygons (ring of lat/lon, closed) that contain them.
 
-    Polygons are spread over the grid cells of their bounds; a point looks into its own cell and the
-    ray test decides.
+    Polygons are spread over quadtree cells that follow their borders: a large one costs few cells inside
+    and as many along the border as its edges need.
     """
-    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    cells = lambda a: F.sequence(F.floor(F.array_min(a) / cell_degrees), F.floor(F.array_max(a) / cell_degrees))
-    spread = polygons.withColumn("_cy", F.explode(cells(lats))).withColumn("_cx", F.explode(cells(lons)))
-    asks = points.withColumn("_cy", F.floor(F.col(lat) / cell_degrees)).withColumn("_cx", F.floor(F.col(lon) / cell_degrees))
-    edges = F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    y, x = F.col(lat), F.col(lon)
-
-    def crosses(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        return ((a["lat"] > y) != (b["lat"] > y)) & (F.try_divide((b["lon"] - a["lon"]) * (y - a["lat"]), b["lat"] - a["lat"]) + a["lon"] > x)
-
-    return asks.join(spread, ["_cy", "_cx"]).where(F.pmod(F.size(F.filter(edges, crosses)), F.lit(2)) == 1).drop("_cy", "_cx", "ring")
+    return in_cells(points, polygon_cells(polygons), lat, lon)
 
 
 def ocean_zone(lon) -> Column:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder that the session names in ``spark.checkpoint.dir``.
 
-    Later rounds read them instead of planning all earlier rounds again.  Only where the session names
-    no folder a temporary one of this machine is set.
+    Later rounds read them instead of planning all earlier rounds again.  Where a local session names no
+    folder a temporary one of this machine is set; on a cluster, whose machines share none, that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenplan-"))
     return df.checkpoint(eager=True)

@@ -103,6 +103,26 @@ def directional_candidates(df: DataFrame, lat: str, lon: str, azimuth: str, dist
     return df.withColumn("_p", geodesic_direct(lat, lon, back, F.lit(distance))).select("*", F.col("_p.lat").alias("candidate_lat"), F.col("_p.lon").alias("candidate_lon")).drop("_p")
 
 
+def base_lines(df: DataFrame, lat: str, lon: str, azimuth: str, altitude: str, distance: float = 250_000.0, step: float = 10_000.0) -> DataFrame:
+    """The lines from subjects away from bodies above the horizon, in segments of ``step`` metres along the geodesic.
+
+    Columns idx, part, lat1, lon1, lat2, lon2.  A segment that crosses the 180th meridian is cut there into
+    two parts, so that no segment runs around the globe.
+    """
+    count = int(-(-distance // step))
+    rows = df.where(F.col(altitude) > 0).withColumn("bearing", wrap360(F.col(azimuth) + 180)).withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    ends = rows.withColumn("_d1", F.col("idx") * F.lit(step)).withColumn("_d2", F.least(F.lit(distance), (F.col("idx") + 1) * F.lit(step)))
+    placed = ends.withColumn("_a", geodesic_direct(lat, lon, "bearing", "_d1")).withColumn("_b", geodesic_direct(lat, lon, "bearing", "_d2"))
+    a, b = F.col("_a"), F.col("_b")
+    segment = lambda part, *v: F.struct(F.lit(part).alias("part"), *[x.alias(n) for n, x in zip(("lat1", "lon1", "lat2", "lon2"), v)])
+    edge = F.signum(a["lon"]) * 180.0
+    share = F.try_divide(F.lit(180.0) - F.abs(a["lon"]), F.lit(360.0) - F.abs(a["lon"]) - F.abs(b["lon"]))
+    between = a["lat"] + (b["lat"] - a["lat"]) * F.coalesce(share, F.lit(0.0))
+    cut = F.abs(b["lon"] - a["lon"]) > 180
+    parts = F.when(cut, F.array(segment(0, a["lat"], a["lon"], between, edge), segment(1, between, -edge, b["lat"], b["lon"]))).otherwise(F.array(segment(0, a["lat"], a["lon"], b["lat"], b["lon"])))
+    return placed.withColumn("_s", F.explode(parts)).select(*df.columns, "idx", "_s.*")
+
+
 def follow_bodies(bodies: DataFrame, previous: DataFrame, keys: list[str], lat: str, lon: str, least_altitude: float = 0.25) -> DataFrame:
     """Earlier places of the tripod moved along with bodies that have moved, at the distances found earlier.
 

@@ -135,9 +135,22 @@ def search(samples: DataFrame, placer: Placer, sampler: Sampler, contexts: Calla
     return kept.orderBy("instant", "sample").limit(limit)
 
 
-def refine(origins: DataFrame, sampler: Sampler, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The best of the rings of points around every origin (key, lat, lon): least error, then least offset."""
-    rows = ring(origins, "lat", "lon").withColumn("point", F.concat_ws(":", "key", F.col("radius").cast("string"), F.col("bearing").cast("string")))
+def refine(origins: DataFrame, sampler: Sampler, evaluate: Callable[[DataFrame], DataFrame], contexts: Callable[[DataFrame], DataFrame] | None = None,
+           checks: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The best of the rings of points around every origin (key, lat, lon), and the points set aside.
+
+    In stages: points where nobody may stand go (``contexts``, with the flags of a site); points without a
+    height of the highest detail are set aside with a reason and stop nothing else; ``evaluate`` adds error;
+    ``checks`` adds ``clear``, from terrain, surface or mesh hits along the line to the subject, and what is
+    not clear goes.  Of the rest the least error wins, of equal ones the nearest to the origin.
+    """
+    rows = ring(origins, "lat", "lon").withColumn("point", F.concat_ws(":", "key", F.col("radius").cast("int").cast("string"), F.col("bearing").cast("int").cast("string")))
+    if contexts is not None:
+        rows = rows.join(contexts(rows.select(F.col("point").alias("key"), "lat", "lon")).withColumnRenamed("key", "point"), "point").where(passes_site(True, True, False, True))
     heights = sampler(rows.select(F.col("point").alias("key"), "lat", "lon", F.lit("1m").alias("detail"))).select(F.col("key").alias("point"), "height")
-    scored = evaluate(rows.join(heights.where("height is not null"), "point"))
-    return best_within(scored, ["key"], "error", "radius")
+    sampled = cut(rows.join(heights, "point", "left"))
+    aside = sampled.where("height IS NULL").select("key", "point", F.lit("no height").alias("reason"))
+    scored = evaluate(sampled.where("height IS NOT NULL"))
+    if checks is not None:
+        scored = checks(scored).where("clear")
+    return best_within(scored, ["key"], "error", "radius"), aside

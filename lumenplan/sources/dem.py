@@ -15,6 +15,8 @@ from ..operators.joins import sample_tiles
 
 #: A sampler takes points (key, lat, lon, detail) and gives them ``height`` and ``source``.
 Sampler = Callable[[DataFrame], DataFrame]
+#: Tasks that the points of one geoid region are dealt to.
+SALTS = 16
 
 TILE_SCHEMA = "source string, zoom int, x int, y int, width int, height int, cm array<int>"
 
@@ -84,6 +86,18 @@ def region_representatives(points: DataFrame, lat: str, lon: str, order: str) ->
     return rows.groupBy("region_lat", "region_lon").agg(F.min(F.struct(order, lat, lon)).alias("r"), F.count("*").alias("n")).select("region_lat", "region_lon", "n", f"r.{lat}", f"r.{lon}")
 
 
+def fan_out(points: DataFrame, answers: DataFrame, lat: str, lon: str, key: str, salts: int = SALTS) -> DataFrame:
+    """Every point with the answer of its region's representative; null columns where the region has none.
+
+    ``answers`` has region_lat, region_lon and what was answered.  Each region is held ``salts`` times, so
+    the points of one crowded region are dealt to as many tasks.
+    """
+    cell = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("int")
+    rows = points.withColumn("region_lat", cell(lat)).withColumn("region_lon", cell(lon)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    held = answers.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.join(held, ["region_lat", "region_lon", "_salt"], "left").drop("region_lat", "region_lon", "_salt")
+
+
 def with_fallback(points: DataFrame, world: DataFrame, key: str) -> DataFrame:
     """Ellipsoidal heights: sampled height plus geoid, else the world terrain's; ``resolved`` tells which."""
     rows = points.join(world.select(key, F.col("height").alias("world_height")), key, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..functions.earth import local_metres
 from ..functions.text import literal_place, nfkc, title_score
+from ..operators.cells import cells_around, line_cells
 from ..operators.joins import in_polygon, ocean_zone, unmatched
 from ..operators.ranking import first_per_key, top_per_key
 
@@ -46,22 +47,61 @@ def relevant(elements: DataFrame) -> DataFrame:
     return elements.where(F.arrays_overlap(F.map_keys("tags"), F.array(*[F.lit(n) for n in names])))
 
 
-def near_points(points: DataFrame, elements: DataFrame, radius: float, key: str = "key") -> DataFrame:
-    """Pairs of points (key, lat, lon) and elements at most ``radius`` metres away, with ``distance``, ``inside`` and local ``points``.
+def curve_place(lat: Column, lon: Column) -> Column:
+    """Place along a space-filling curve: the bits of 16 of latitude and longitude in turn."""
+    y, x = F.floor((lat + 90) / F.lit(180.0) * 65535).cast("long"), F.floor((lon + 180) / F.lit(360.0) * 65535).cast("long")
+    bit = lambda v, k, out: F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1).cast("long")), out)
+    code = F.lit(0).cast("long")
+    for k in range(16):
+        code = code.bitwiseOR(bit(y, k, 2 * k + 1)).bitwiseOR(bit(x, k, 2 * k))
+    return code
+
+
+def save_elements(elements: DataFrame, path: str, files: int = 64, rows_a_group: int = 20_000) -> None:
+    """Write elements with bounds along the curve, so that the statistics of files and row groups are small areas."""
+    placed = elements.withColumn("place", curve_place((F.col("south") + F.col("north")) / 2, (F.col("west") + F.col("east")) / 2))
+    ordered = placed.repartitionByRange(files, "place").sortWithinPartitions("place")
+    ordered.write.option("parquet.block.row.count.limit", rows_a_group).mode("overwrite").parquet(path)
+
+
+def elements_in_bounds(spark: SparkSession, path: str, south: float, west: float, north: float, east: float) -> DataFrame:
+    """The saved elements whose bounds meet an area; the comparisons reach the scan, which skips all other row groups."""
+    inside = (F.col("north") >= south) & (F.col("south") <= north) & (F.col("east") >= west) & (F.col("west") <= east)
+    return spark.read.parquet(path).where(inside).drop("place")
+
+
+def near_segments(points: DataFrame, elements: DataFrame, radius: float, key: str = "key") -> DataFrame:
+    """The segments of elements at most ``radius`` metres from points (key, lat, lon): key, type, id, ``ends`` in local metres, ``distance``.
 
-    Elements are spread over the cells that their bounds touch, a point looks into its cell and the
-    eight around it; the exact distance decides.
+    A segment is spread over the cells that it passes, so a long line costs its length in cells and not
+    the area of its bounds.  A single point is a segment without length.  A segment may come more than once.
     """
     cell = radius / METRES_A_DEGREE * 2
-    cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    spread = elements.withColumn("_y", F.explode(cells("south", "north"))).withColumn("_x", F.explode(cells("west", "east")))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asks = points.select(key, "lat", "lon", F.explode(around).alias("o"))
-    asks = asks.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon"), (F.floor(F.col("lat") / cell) + F.col("o.i")).alias("_y"), (F.floor(F.col("lon") / cell) + F.col("o.j")).alias("_x"))
-    pairs = asks.join(spread, ["_y", "_x"]).dropDuplicates([key, "type", "id"]).drop("_y", "_x")
+    last = F.greatest(F.size("geometry") - 1, F.lit(1))
+    pairs = F.transform(F.sequence(F.lit(1), last), lambda k: F.struct(F.element_at("geometry", k).alias("a"), F.element_at("geometry", F.least(k + 1, F.size("geometry"))).alias("b")))
+    segments = elements.select("type", "id", F.explode(pairs).alias("s")).select("type", "id", *[F.col(f"s.{e}.{c}").alias(e + c) for e in "ab" for c in ("lat", "lon")])
+    asks = cells_around(points.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon")), cell, cell / 2, "plat", "plon")
+    met = asks.join(line_cells(segments, cell), ["_cy", "_cx"])
+    end = lambda e: local_metres(F.col(e + "lat"), F.col(e + "lon"), F.col("plat"), F.col("plon"))
+    measured = met.withColumn("ends", F.array(end("a"), end("b"))).withColumn("distance", features.distance_to("ends"))
+    return measured.where(F.col("distance") <= radius).select(key, "type", "id", "ends", "distance")
+
+
+def near_points(points: DataFrame, elements: DataFrame, radius: float, key: str = "key") -> DataFrame:
+    """Pairs of points and elements at most ``radius`` metres away or around the point, with ``distance`` and ``inside``.
+
+    Distances are taken by segment and combined per element before the shuffle; areas contain a point by
+    their cells.  Only where an area contains a point and no edge is near, its whole outline is measured.
+    """
+    near = near_segments(points, elements, radius, key).groupBy(key, "type", "id").agg(F.min("distance").alias("distance"))
+    closed = (F.size("geometry") >= 4) & (F.element_at("geometry", 1) == F.element_at("geometry", -1))
+    areas = elements.where(closed).select("type", "id", F.col("geometry").alias("ring"))
+    around = in_polygon(points.select(key, "lat", "lon"), areas, "lat", "lon").select(key, "type", "id", F.lit(True).alias("inside"))
+    found = near.join(around, [key, "type", "id"], "full").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    named = found.where("distance IS NOT NULL").join(elements, ["type", "id"])
+    deep = found.where("distance IS NULL").drop("distance").join(elements, ["type", "id"]).join(points.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon")), key)
     local = F.transform("geometry", lambda p: local_metres(p["lat"], p["lon"], F.col("plat"), F.col("plon")))
-    measured = pairs.withColumn("points", local).withColumn("distance", features.distance_to("points")).withColumn("inside", features.contains_origin("points"))
-    return measured.where((F.col("distance") <= radius) | F.col("inside"))
+    return named.unionByName(deep.withColumn("distance", features.distance_to(local)).drop("plat", "plon")).drop("geometry")
 
 
 def site_contexts(points: DataFrame, elements: DataFrame, key: str = "key") -> DataFrame:
@@ -146,14 +186,19 @@ def geocode(queries: DataFrame, gazetteer: DataFrame, query: str = "query", any_
     return queries.join(best.unionByName(literal), query, "left")
 
 
-def time_zones(points: DataFrame, polygons: DataFrame, key: str = "key", cell_degrees: float = 2.0) -> DataFrame:
+def time_zones(points: DataFrame, polygons: DataFrame, key: str = "key") -> DataFrame:
     """The zones of every point (key, lat, lon): those of the polygons (zone, ring) that contain it, else the ocean's."""
-    inside = in_polygon(points, polygons, cell_degrees, "lat", "lon").groupBy(key).agg(F.array_sort(F.collect_set("zone")).alias("zones"))
+    inside = in_polygon(points, polygons, "lat", "lon").groupBy(key).agg(F.array_sort(F.collect_set("zone")).alias("zones"))
     return points.join(inside, key, "left").withColumn("zones", F.coalesce("zones", F.array(ocean_zone(F.col("lon")))))
 
 
 def corridor(points: DataFrame, elements: DataFrame, key: str, azimuth: str, radius: float = 2000.0, half_width: float = 15.0) -> DataFrame:
-    """Obstacles on the ray of every point (key, lat, lon, azimuth): off, along, height; only ahead and in the corridor."""
-    pairs = near_points(points, elements, radius, key).join(points.select(key, azimuth), key)
-    rows = pairs.withColumn("_m", features.ray_approach("points", F.col(azimuth))).withColumn("obstacle", features.obstacle_height())
-    return rows.where((F.col("_m.off") <= half_width) & (F.col("_m.along") <= radius) & F.col("obstacle").isNotNull()).select(key, "type", "id", F.col("_m.off").alias("off"), F.col("_m.along").alias("along"), "obstacle")
+    """Obstacles on the ray of every point (key, lat, lon, azimuth): off, along, height; only ahead and in the corridor.
+
+    Each near segment is tried by itself, and the best of an element is kept.
+    """
+    obstacles = elements.withColumn("obstacle", features.obstacle_height()).where("obstacle IS NOT NULL")
+    near = near_segments(points, obstacles, radius, key).join(points.select(key, azimuth), key)
+    met = near.withColumn("_m", features.ray_approach("ends", F.col(azimuth))).where((F.col("_m.off") <= half_width) & (F.col("_m.along") <= radius))
+    best = met.groupBy(key, "type", "id").agg(F.min("_m").alias("_m"))
+    return best.join(obstacles.select("type", "id", "obstacle"), ["type", "id"]).select(key, "type", "id", F.col("_m.off").alias("off"), F.col("_m.along").alias("along"), "obstacle")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranking import first_per_key
 from ..sources.store import JOB_SCHEMA, TERMINAL, latest_jobs
 
 ATTEMPTS, DELAY_SECONDS, MOST_DELAY = 3, 5, 60
@@ -45,28 +46,80 @@ def pending(messages: DataFrame, results: DataFrame) -> DataFrame:
     return rows.withColumn("attempt", F.coalesce("tried", F.lit(0)) + 1).drop("tried").where(F.col("attempt") <= ATTEMPTS)
 
 
-def consume(queue: DataFrame, run: Callable[[DataFrame], DataFrame], results_path: str, checkpoint: str) -> StreamingQuery:
+def due(results: DataFrame, now: Column) -> DataFrame:
+    """The messages of jobs whose last attempt failed, is not final, and waited its delay."""
+    last = first_per_key(results, ["client_id", "job_id"], [F.desc("attempt")])
+    waited = (F.unix_micros(now) - F.unix_micros("tried_at")) / F.lit(1e6) >= retry_delay(F.col("attempt"))
+    failed = last.where((F.col("status") == "failed") & ~F.col("final") & F.col("message").isNotNull() & waited)
+    return failed.select(F.from_json("message", JOB_SCHEMA).alias("m")).select("m.*")
+
+
+def with_heartbeat(queue: DataFrame) -> DataFrame:
+    """The queue with a row without a job every second, so that batches run, and failed jobs are tried again, while it is empty."""
+    beat = queue.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return queue.unionByName(beat.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in queue.schema.fields]))
+
+
+RESULT_SCHEMA = "client_id string, job_id string, status string, error string, attempt int, final boolean, message string, tried_at timestamp, batch long"
+
+
+def consume(queue: DataFrame, run: Callable[[DataFrame], DataFrame], results_path: str, checkpoint: str, trigger: dict | None = None, clock: Callable[[], Column] = F.current_timestamp) -> StreamingQuery:
     """Process every batch of messages once: ``run`` gives status and error; results are added to a table.
 
-    The batch number is part of the results, and a batch that is replayed after a failure replaces its
-    own, so that a job is not counted twice.  A failure after the last attempt is final.
+    Jobs of the table that failed and are due join each batch, so a job needs no second message; over
+    ``with_heartbeat`` with a processing-time trigger they are also tried while no message comes.  The batch
+    number is part of the results, and a batch that is replayed after a failure replaces its own, so that a
+    job is not counted twice.  A failure after the last attempt is final.
     """
-    schema = "client_id string, job_id string, status string, error string, attempt int, final boolean, batch long"
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            before = spark.read.schema(schema).parquet(results_path).where(F.col("batch") != number)
+            before = spark.read.schema(RESULT_SCHEMA).parquet(results_path).where(F.col("batch") != number)
         except Exception as e:  # the table begins with the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            before = spark.createDataFrame([], schema)
-        done = run(pending(batch, before))
+            before = spark.createDataFrame([], RESULT_SCHEMA)
+        messages = batch.where(F.col("job_id").isNotNull())
+        work = pending(messages.unionByName(due(before, clock()).select(*messages.columns)), before)
+        work = work.withColumn("message", F.to_json(F.struct(*messages.columns)))
+        if work.isEmpty():
+            return
+        done = run(work)
         final = (F.col("status") != "failed") | (F.col("attempt") >= ATTEMPTS)
-        out = done.select("client_id", "job_id", "status", "error", "attempt", final.alias("final"))
+        out = done.select("client_id", "job_id", "status", "error", "attempt", final.alias("final"), "message", clock().alias("tried_at"))
         out.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
 
-    return queue.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return queue.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def watch(updates: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """A stream (job_id, stall) of jobs that fell silent, from a stream of updates (job_id, status).
+
+    A timer per job is set by each update; silence alone fires it: "missing" for a job that was only
+    announced (no status), "queued" and "stalled" for those that wait or run.  A final status clears it.  A
+    job is reported once and again only after another update.  ``limits`` are seconds by kind.
+    """
+    limits = {"missing": MISSING_SECONDS, "queued": QUEUED_SECONDS, "stalled": STALLED_SECONDS} | (limits or {})
+    kinds = {None: "missing", "queued": "queued", "running": "stalled"}
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (kind,) = state.get
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "stall": [kind]})
+            return
+        status = None
+        for pdf in batches:
+            for value in pdf["status"]:
+                status = value if isinstance(value, str) else None
+        if status in kinds:
+            state.update((kinds[status],))
+            state.setTimeoutDuration(limits[kinds[status]] * 1000)
+        elif state.exists:
+            state.remove()
+
+    return updates.groupBy("job_id").applyInPandasWithState(step, "job_id string, stall string", "kind string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def checkpoints(updates: DataFrame) -> DataFrame:
