@@ -52,8 +52,16 @@ _WORDS = frozenset(
     " navbar navigation breadcrumb breadcrumbs pager pagination toolbar share sharing social comment comments respond replies reply"
     " disqus footer foot header masthead topbar related recommended recommendations teaser teasers trending copyright legal skip search".split()
 )
-#: Parts that take that mark away from the one name they stand in, as in "has-sidebar" and "no-header".
-_ABOUT = frozenset("has with no without hide".split())
+#: Parts that take that mark away from the one name they stand in, as in "has-sidebar", "no-header" and "comments-off".
+_ABOUT = frozenset("has with no without hide off open closed".split())
+#: Marks that say little where they are a part of a longer name, as in "legal-text" and "search-result".
+_WEAK = frozenset("legal search notice notices header head top side share social copyright skip".split())
+#: Names of holders that may be written on to a mark, as in "commentlist" and "adbox".
+_ENDINGS = tuple("list lists box boxes bar bars area wrap wrapper container block blocks section unit slot panel form links item items row body".split())
+#: The end of a word in a name that changes case, as in "userComments".
+_CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_LINK = re.compile(r"""(?:^|\s)href\s*=""", re.IGNORECASE)
+_ANCHOR = re.compile(r"""(?:^|\s)(?:name|id)\s*=""", re.IGNORECASE)
 
 
 @dataclass
@@ -70,20 +78,41 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _marks(part: str) -> bool:
+    """True for a part of a name that marks surroundings, by itself or with the name of a holder written on to it."""
+    return part in _WORDS or any(part.endswith(e) and part[: -len(e)] in _WORDS for e in _ENDINGS)
+
+
+@lru_cache(maxsize=4096)
+def _named(name: str) -> int:
+    """What one class, id or role says: -2 if all of it marks surroundings, -1 if a part does, 1 for the main text, else 0."""
+    if name.lower() == "main":
+        return 1
+    parts = _PARTS.findall(_CASE.sub("-", name).lower())
+    marked = [p for p in parts if _marks(p)]
+    if not marked or not _ABOUT.isdisjoint(parts):
+        return 0
+    if len(marked) == sum(p not in _ENDINGS for p in parts):
+        return -2
+    return 0 if _WEAK.issuperset(marked) else -1
+
+
 def _place(tag: str, attributes: str) -> int:
+    """-1 for a frame such as a menu, 1 for a holder of the article, 0 for neither.
+
+    An article or main element is a frame only if a whole name says so, as "comment" does, or if it is
+    hidden: parts of its names, as in "tag-search" and "comment-open", tell of other things.
+    """
     if tag in _WHOLE:
         return 0
     if tag in _FRAME or (attributes and _HIDDEN.search(attributes)):
         return -1
-    main = tag in _CONTENT
+    said = [0]
     if attributes and "=" in attributes:
-        for m in _HINT.finditer(attributes):
-            for name in (m.group(1) or m.group(2) or m.group(3) or "").lower().split():
-                parts = _PARTS.findall(name)
-                if not _WORDS.isdisjoint(parts) and _ABOUT.isdisjoint(parts):
-                    return -1
-                main = main or name == "main"
-    return 1 if main else 0
+        said += [_named(name) for m in _HINT.finditer(attributes) for name in (m.group(1) or m.group(2) or m.group(3) or "").split()]
+    if tag in _CONTENT:
+        return -1 if min(said) == -2 else 1
+    return -1 if min(said) < 0 else max(said)
 
 
 def _pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -141,13 +170,15 @@ def _closing(name: str) -> re.Pattern:
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order; text may stand outside of any tag, tags may be left open.
 
-    A tag that the page ends in is markup without text.
+    A tag that the page ends in is markup without text.  In a header of an article the headings are the
+    article's.  A link goes on over blocks inside of it, up to its end, the next link, or the end of the
+    block that it began in; an anchor without an address is none.
     """
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
     opened: Counter[str] = Counter()
     pieces: list[tuple[str, bool]] = []
-    links = frames = articles = 0
+    links = frames = articles = heads = inner = 0
     heading = False
 
     def close() -> None:
@@ -156,7 +187,8 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 linked = sum(len(p.split()) for p, link in pieces if link)
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(linked, words), -1 if frames else 1 if articles else 0, heading))
+                framed = frames or (heads and not heading)
+                out.append(Block(text, words, min(linked, words), -1 if framed else 1 if articles else 0, heading))
             pieces.clear()
 
     for text, name, shut, attributes in _pieces(page or ""):
@@ -164,11 +196,18 @@ def blocks(page: str | None) -> list[Block]:
             pieces.append((html.unescape(text) if "&" in text else text, links > 0))
             continue
         if name == "a":
-            links = max(0, links - 1) if shut else links + 1
+            links = 0 if shut or (_ANCHOR.search(attributes) and not _LINK.search(attributes)) else 1
+            inner = 0
             continue
         if name in _BLOCKS:
             close()
-            links = 0
+            if links:
+                if not shut:
+                    inner += 1
+                elif inner:
+                    inner -= 1
+                else:
+                    links = 0
             if name[0] == "h" and name[1:].isdigit():
                 heading = not shut
             elif not shut:
@@ -180,22 +219,24 @@ def blocks(page: str | None) -> list[Block]:
             n, kind = stack.pop()
             opened[n] -= 1
             frames -= kind < 0
-            articles -= kind > 0
+            articles -= kind == 1
         if name in _HOLDERS:
             if not shut:
                 if not attributes and name in ("p", "span", "li") and not opened[name]:
                     continue
-                kind = _place(name, attributes)
+                kind = 2 if name == "header" and articles and not frames else _place(name, attributes)
                 stack.append((name, kind))
                 opened[name] += 1
                 frames += kind < 0
-                articles += kind > 0
+                articles += kind == 1
+                heads += kind == 2
             elif opened[name]:
                 while True:
                     n, kind = stack.pop()
                     opened[n] -= 1
                     frames -= kind < 0
-                    articles -= kind > 0
+                    articles -= kind == 1
+                    heads -= kind == 2
                     if n == name:
                         break
     close()
@@ -256,6 +297,12 @@ LAYOUTS = """
 -6/1 -40/0.95 -25/0.8
 +5h +8 +9 +30 +4 +12
 +7h +4 +45/0.1 +3 -1/1 -1/1 -2/1
++1h +60 +2 +2 -1/1
++6h +60 +4 +2 -2/1 -2/1
++8h +70 +3 +5 +2 -1/1 -3/1 -1/1
++60 +3 +2 -5/1
++60 -60/1 -5/1 -60/1 -5/1
+-3 -4 -2/1 -60/1 +60 +3 +60
 """
 
 _LAYOUT = re.compile(r"([+-])([0-9]+)(?:/([0-9.]+))?(h?)([af]?)")

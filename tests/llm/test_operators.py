@@ -174,6 +174,88 @@ def test_html_pages_without_an_article():
         assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("opening", [
+    "<article class='post comments-off'>", "<article class='type-post tag-search'>", "<article class='has-header-image comment-open'>", "<main class='notice-board'>", "<div class='legal-text'>",
+    "<div class='search-result'><article>", "<div id=pageHeader2><main role=main>", "<div class='shareholder-letter'>", "<div class=headline>",
+])
+def test_html_names_that_tell_of_other_things(opening):
+    assert html_text.main_text(f"<nav><a href=x>Home</a></nav>{opening}<p>{WORDS60}</p>") == WORDS60
+
+
+@pytest.mark.parametrize("name", ["userComments", "commentlist", "adbox", "cookiebar", "adBox", "searchBox", "footerLinks", "topbar", "notice", "site-footer", "comment"])
+def test_html_marks_in_other_spellings(name):
+    p = WORDS60
+    assert html_text.main_text(f"<article><p>{p}</p><div class='{name}'><p>{p}</p></div></article>") == p
+    assert html_text.main_text(f"<article><p>{p}</p><div class='comments'><article class='{name}'><p>{p}</p></article></div></article>") == p
+
+
+def test_html_headlines_links_and_short_paragraphs():
+    p = WORDS60
+    teaser = f"<a href=x><div>{p}</div><div>and more of it</div></a>"
+    pages = {
+        f"<article><header><h1>The Title</h1><p>By Someone</p></header><p>{p}</p></article>": f"The Title\n{p}",
+        f"<header><h1>Site</h1></header><article><p>{p}</p></article>": p,
+        f"<h1>T</h1><p>{p}</p><p>short bit</p><p>He left.</p><ul><li><a href=x>More</a></li></ul>": f"T\n{p}\nshort bit\nHe left.",
+        f"<p>{p}</p>{teaser}{teaser}": p,
+        f"<p><a href=x>never closed</p><p>{p}</p>": f"{p}",
+        f"<a name=top><p>{p}</p><p>{p} b</p>": f"{p}\n{p} b",
+        f"<ul><li><a href=x>One<li><a href=y>Two</ul><p>{p}</p>": p,
+    }
+    for page, text in pages.items():
+        assert html_text.main_text(page) == text, page
+
+
+def plain_page(rng):
+    """A random well-formed page, and its blocks as (text, words, linked words, place)."""
+    words, out = iter(range(10**6)), []
+
+    def text():
+        return " ".join(f"w{next(words)}" for _ in range(rng.choice([1, 3, 8, 30, 70])))
+
+    def blocks_of(depth, place):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["p", "p", "p", "h2", "link", "div", "nav", "ad", "article", "comments"])
+            if kind in ("p", "h2"):
+                t, link = text(), text() if rng.random() < 0.3 else ""
+                parts.append(f"<{kind}>{t} <a href='/x'>{link}</a></{kind}>")
+                out.append((f"{t} {link}".strip(), len(t.split()) + len(link.split()), len(link.split()), place, kind == "h2"))
+            elif kind == "link":
+                t = text()
+                parts.append(f"<ul><li><a href='/y'>{t}</a></li></ul>")
+                out.append((t, len(t.split()), len(t.split()), place, False))
+            elif depth:
+                tag, name, inner = {"div": ("div", "box", place), "nav": ("nav", "", -1), "ad": ("div", "ad", -1), "article": ("article", "post", place if place < 0 else 1), "comments": ("section", "comments", -1)}[kind]
+                parts.append(f"<{tag} class='{name}'>{blocks_of(depth - 1, inner)}</{tag}>")
+        return "".join(parts)
+
+    return f"<html><body>{blocks_of(3, 0)}</body></html>", out
+
+
+def test_html_equals_a_plain_reader():
+    rng = random.Random(12)
+    for _ in range(200):
+        page, expected = plain_page(rng)
+        got = html_text.blocks(page)
+        assert [(b.text, b.words, b.linked, b.place, b.heading) for b in got] == expected
+        kept = []
+        article = any(b[3] > 0 for b in expected)
+        for k, (text, words, linked, place, heading) in enumerate(expected):
+            near = [expected[j] if 0 <= j < len(expected) else ("", 0, 0) for j in (k - 1, k + 1)]
+            values = [words, linked / words, near[0][1], near[0][2] / max(1, near[0][1]), near[1][1], near[1][2] / max(1, near[1][1]), place, heading, article]
+            node = html_text.tree()
+            while not isinstance(node, bool):
+                node = node[2] if values[node[0]] <= node[1] else node[3]
+            kept += [text] * node
+        assert html_text.main_text(page) == "\n".join(kept)
+
+
+def test_html_query(spark):
+    rows = queries.op4_html(spark, SF).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(rows) == len(pages) and all(r.text == html_text.main_text(pages[r.page_id].html) and r.url == pages[r.page_id].url and r.n_chars == len(r.text) for r in rows)
+
+
 @pytest.mark.parametrize("page", ["<a '" * 1_300_000, "<div>" * 500_000 + "</section>" * 250_000, "<svg>" + "</svg " * 800_000, "<a x='>'" * 600_000, "<" * 5_000_000, "<video>" * 700_000])
 def test_html_is_linear(page):
     began = time.perf_counter()
