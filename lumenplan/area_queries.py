@@ -7,10 +7,11 @@ from math import pi
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import sky, text
-from .functions.earth import MEAN_RADIUS, SEMI_MAJOR
+from .functions import policy, sky, text
+from .functions.earth import K_STANDARD, MEAN_RADIUS, SEMI_MAJOR
+from .functions.geodesic import geodesic_inverse
 from .operators import ranking, sampling
-from .plans import spot
+from .plans import occlusion, spot
 from .queries import lat_of, lon_of, query, sql_lat, sql_lon, sql_sun, table
 from .sources import dem, places
 
@@ -182,3 +183,111 @@ def relevant_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(F.col("p_size") % 10 == 3, F.lit("amenity")).otherwise(F.lit("note"))
     elements = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.create_map(first, F.lit("yes"), second, F.lit("x")).alias("tags"))
     return places.relevant(elements).select("id")
+
+
+_K = f"(1 - {K_STANDARD}::DOUBLE)"
+_RADIUS = f"{MEAN_RADIUS}::DOUBLE"
+
+
+@query(
+    "line_of_sight",
+    f"""WITH b AS (SELECT event_id AS key, user_id, value / 50 - 1 AS altitude FROM events),
+    t AS (SELECT key, (user_id % 30) / 10.0::DOUBLE AS terrain, (user_id % 50) * 700.0::DOUBLE + 40 AS distance FROM b WHERE key % 5 <> 0),
+    o AS (SELECT key, 12.0::DOUBLE + key % 40 + n * 3 AS height, 150.0::DOUBLE + user_id % 70 * 9 + n * 55 AS along FROM b, range(0, 3) r(n) WHERE key % 4 <> 1),
+    s AS (SELECT key, max(degrees(atan2(height - 1.6 - along * along / (2 * ({_RADIUS} / {_K})), along))) AS surface FROM o GROUP BY key),
+    h AS (SELECT b.key, altitude, distance, CASE WHEN surface > terrain THEN surface ELSE terrain END AS horizon, CASE WHEN surface > terrain THEN 'surface' WHEN terrain IS NOT NULL THEN 'terrain' END AS source FROM b LEFT JOIN t USING (key) LEFT JOIN s ON s.key = b.key AND t.key IS NOT NULL),
+    c AS (SELECT *, greatest(0.015::DOUBLE, degrees((0.2 - 0.05)::DOUBLE * distance / (2 * {_RADIUS})) / 2) AS band, round(altitude - horizon, 9) AS clear FROM h),
+    v AS (SELECT *, CASE WHEN altitude <= 0 THEN 'obstructed' WHEN horizon IS NULL THEN 'visible' WHEN clear < -band THEN 'obstructed' WHEN clear <= band THEN 'uncertain' ELSE 'visible' END AS status FROM c)
+    SELECT key AS event_id, round(horizon, 6) AS horizon, status, CASE WHEN altitude <= 0 THEN 'below-horizon' WHEN status = 'obstructed' THEN CASE WHEN source = 'surface' THEN 'building-or-surface' ELSE 'terrain' END ELSE 'clear' END AS reason FROM v""",
+)
+def line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether terrain or the obstacles of a corridor hide a body at every event."""
+    k, u = F.col("event_id"), F.col("user_id")
+    e = table(spark, sf_dir, "events")
+    bodies = e.select(k.alias("key"), (F.col("value") / 50 - 1).alias("altitude"))
+    terrain = e.where(k % 5 != 0).select(k.alias("key"), (u % 30 / F.lit(10.0)).alias("elevation"), (u % 50 * F.lit(700.0) + 40).alias("distance"))
+    n = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    obstacles = e.where(k % 4 != 1).select(k.alias("key"), u.alias("u"), n.alias("id")).select(
+        "key", "id", (F.lit(12.0) + F.col("key") % 40 + F.col("id") * 3).alias("obstacle"), (F.lit(150.0) + F.col("u") % 70 * 9 + F.col("id") * 55).alias("along")
+    )
+    found = occlusion.verdict(bodies, terrain, occlusion.surface_horizon(obstacles, "key", F.lit(1.6)))
+    return found.select(F.col("key").alias("event_id"), F.round("horizon", 6).alias("horizon"), "status", "reason")
+
+
+@query(
+    "equator_lines",
+    f"""SELECT c_custkey AS id, round(radians(c_custkey % 90 + 0.5::DOUBLE) * {SEMI_MAJOR}::DOUBLE, 5) AS distance, CASE WHEN c_custkey % 2 = 0 THEN 90.0 ELSE 270.0 END::DOUBLE AS azimuth FROM customer""",
+)
+def equator_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines along the equator, whose length is known (F1)."""
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k.alias("id"), F.lit(0.0).alias("a"), (k * 53 % 80).cast("double").alias("o"), (F.when(k % 2 == 0, 1).otherwise(-1) * (k % 90 + F.lit(0.5))).alias("turn"))
+    line = p.withColumn("o2", F.col("o") + F.col("turn")).withColumn("g", geodesic_inverse("a", "o", "a", "o2"))
+    return line.select("id", F.round("g.distance", 5).alias("distance"), F.round("g.azimuth", 6).alias("azimuth"))
+
+
+@query(
+    "disc_edges",
+    """WITH d AS (SELECT event_id, (user_id * 7 % 360)::DOUBLE AS az, (event_id % 80)::DOUBLE AS alt, i, 0.27::DOUBLE AS r, radians((i - 1) * 30.0::DOUBLE) AS turn FROM events, range(0, 13) x(i))
+    SELECT event_id, i::INTEGER AS edge, round((((az + CASE WHEN i = 0 THEN 0 ELSE r * sin(turn) / greatest(0.05::DOUBLE, cos(radians(alt))) END) % 360.0) + 360.0) % 360.0, 6) AS azimuth, round(alt + CASE WHEN i = 0 THEN 0 ELSE r * cos(turn) END, 6) AS altitude FROM d""",
+)
+def disc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Middle and edge of a disc at every event."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 7 % 360).cast("double").alias("azimuth"), (F.col("event_id") % 80).cast("double").alias("altitude"))
+    found = occlusion.disc_samples(e, F.lit(0.27), 12)
+    return found.select("event_id", "edge", F.round("azimuth", 6).alias("azimuth"), F.round("altitude", 6).alias("altitude"))
+
+
+@query(
+    "first_of_each_type",
+    "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE value > 20) WHERE n = 1",
+)
+def first_of_each_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each type above a value."""
+    e = table(spark, sf_dir, "events").where("value > 20")
+    return ranking.first_per_key(e, ["event_type"], [F.col("ts"), F.col("event_id")]).select("event_type", "event_id")
+
+
+@query(
+    "tripod_distances",
+    """SELECT c_custkey AS id, round(least(10000.0, greatest(0.0, c_acctbal / 3)), 6) AS low, CASE WHEN c_nationkey % 3 = 0 THEN 3000.0 + 7000 ELSE round(least(10000.0, greatest(0.0, c_acctbal)), 6) END::DOUBLE AS high FROM customer""",
+)
+def tripod_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored least and most distances kept in their bounds."""
+    high = F.when(F.col("c_nationkey") % 3 == 0, F.lit(1e9)).otherwise(F.col("c_acctbal"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), policy.distance_range(F.col("c_acctbal") / 3, high).alias("d"))
+    return c.select("id", F.round("d.low", 6).alias("low"), F.round("d.high", 6).alias("high"))
+
+
+@query(
+    "broken_places",
+    """WITH p AS (SELECT event_id, value - 50 AS latitude, user_id * 2.0::DOUBLE - 120 AS longitude, CASE WHEN event_id % 6 = 0 THEN 'NaN'::DOUBLE ELSE event_id % 30 + 1.0::DOUBLE END AS focal FROM events)
+    SELECT event_id, array_to_string(list_filter([CASE WHEN NOT (abs(latitude) <= 90) THEN 'latitude' END, CASE WHEN NOT (abs(longitude) <= 180) THEN 'longitude' END, CASE WHEN isnan(focal) OR NOT focal BETWEEN 9 AND 1600 THEN 'focal' END], lambda x: x IS NOT NULL), ',') AS failed
+    FROM p WHERE NOT (abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT isnan(focal) AND focal BETWEEN 9 AND 1600)""",
+)
+def broken_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose derived place or lens is out of bounds, with what failed (P25)."""
+    e = table(spark, sf_dir, "events").select(
+        "event_id", (F.col("value") - 50).alias("latitude"), (F.col("user_id") * 2.0 - 120).alias("longitude"), F.when(F.col("event_id") % 6 == 0, F.lit(float("nan"))).otherwise(F.col("event_id") % 30 + F.lit(1.0)).alias("focal")
+    )
+    _, bad = policy.quarantine(e, {"latitude": "latitude", "longitude": "longitude", "focal": "focal"})
+    return bad.select("event_id", F.array_join("failed", ",").alias("failed"))
+
+
+@query(
+    "way_bounds",
+    f"""SELECT p_partkey AS id, round(min(lat), 6) AS south, round(max(lat), 6) AS north, round(min(lon), 6) AS west, round(max(lon), 6) AS east FROM (
+      SELECT p_partkey, {sql_lat("p_partkey")} + i * 0.004::DOUBLE + 0.003::DOUBLE * ((p_partkey + i) % 3) AS lat, {sql_lon("p_partkey")} + i * 0.0031::DOUBLE - 0.002::DOUBLE * ((p_partkey + i) % 4) AS lon FROM part, range(0, {BENDS}) r(i)) GROUP BY 1""",
+)
+def way_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of ways."""
+    k = F.col("p_partkey")
+    path = F.transform(
+        F.sequence(F.lit(0), F.lit(BENDS - 1)),
+        lambda i: F.struct((lat_of("p_partkey") + i * F.lit(0.004) + F.lit(0.003) * ((k + i) % 3)).alias("lat"), (lon_of("p_partkey") + i * F.lit(0.0031) - F.lit(0.002) * ((k + i) % 4)).alias("lon")),
+    )
+    null = F.lit(None)
+    ways = table(spark, sf_dir, "part").select(
+        F.lit("way").alias("type"), k.alias("id"), null.cast("double").alias("lat"), null.cast("double").alias("lon"), null.cast("struct<lat:double,lon:double>").alias("center"), path.alias("geometry"), F.create_map(F.lit("highway"), F.lit("path")).alias("tags")
+    )
+    return places.with_bounds(ways).select("id", *[F.round(c, 6).alias(c) for c in ("south", "north", "west", "east")])

@@ -63,8 +63,9 @@ def earliest_by_windows(df: DataFrame, date: str, key: str, limit: int, width_se
 
 
 def newest_within(df: DataFrame, keys: list[str], time: str, days: int, now: Column, cap: int) -> DataFrame:
-    """Per key the ``cap`` newest rows that are at most ``days`` old."""
-    return top_per_key(df.where(F.col(time) >= now - F.expr(f"INTERVAL {days} DAYS")), keys, [F.desc(time)], cap, "_place").drop("_place")
+    """Per key the ``cap`` newest rows that are at most ``days`` old; of equally new ones those of the smaller ``id``, if there is one."""
+    order = [F.desc(time), *([F.col("id")] if "id" in df.columns else [])]
+    return top_per_key(df.where(F.col(time) >= now - F.expr(f"INTERVAL {days} DAYS")), keys, order, cap, "_place").drop("_place")
 
 
 def best_within(df: DataFrame, keys: list[str], error: str, distance: str, tie: float = 1e-6) -> DataFrame:

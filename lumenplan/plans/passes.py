@@ -195,8 +195,11 @@ def frame_intervals(searches: DataFrame, bodies: Iterable[str], zone: str, weekd
     return seen_in_frame(found).withColumn("enter", F.timestamp_micros("enter")).withColumn("leave", F.timestamp_micros("leave"))
 
 
-def rises_and_sets(days: DataFrame, bodies: Iterable[str] = BODIES, mode: str = "standard") -> DataFrame:
-    """First rise and first set of every body in each period (id, start, end, lat, lon), to less than a second; null if none."""
+def rises_and_sets(days: DataFrame, bodies: Iterable[str] = BODIES, mode: str = "standard", refined: bool = True) -> DataFrame:
+    """First rise and first set of every body in each period (id, start, end, lat, lon); null if none.
+
+    To less than a second, or, not ``refined``, the first sample of the scan of two minutes after it.
+    """
     bodies = list(bodies)
     whole = prepared(days, SCAN).withColumn("_a", F.unix_micros("start")).withColumn("_b", F.unix_micros("end")).where("_a < _b")
     cut = whole.withColumn("slot", F.explode(F.sequence(slot_of(F.col("_a")), slot_of(F.col("_b") - 1))))
@@ -208,7 +211,7 @@ def rises_and_sets(days: DataFrame, bodies: Iterable[str] = BODIES, mode: str =
         r, k = np.nonzero(above[:, :-1] != above[:, 1:])
         near = track.take(r)
         low, high = t[r, k], t[r, k + 1]
-        for _ in range(BISECTIONS["horizon"]):  # to a fraction of a second, as the step is short
+        for _ in range(BISECTIONS["horizon"] if refined else 0):  # to a fraction of a second, as the step is short
             middle = (low + high) // 2
             after = (near.at(middle)[1] >= 0) == above[r, k + 1]
             low, high = np.where(after, low, middle), np.where(after, middle, high)

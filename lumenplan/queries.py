@@ -15,7 +15,7 @@ from .functions import earth, features, optics, policy, rasters, sky, text, zone
 from .functions.angles import signed_difference
 from .functions.geodesic import geodesic_direct, geodesic_inverse
 from .operators import joins, ranking, sampling, windows
-from .plans import occlusion, screen, timeline, transit
+from .plans import occlusion, passes, screen, timeline, transit
 from .sources import dem, places, store, weather
 from .streaming import jobs
 
@@ -148,9 +148,8 @@ def local_time_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rise_set_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rise and set of the Sun at every supplier in a scan of two minutes."""
     k = "s_suppkey"
-    days = table(spark, sf_dir, "supplier").select(F.col(k).alias("id"), lat_of(k).alias("lat"), lon_of(k).alias("lon"), F.timestamp_micros(F.lit(DAY_START)).alias("a"), F.timestamp_micros(F.lit(DAY_END)).alias("b"))
-    scan = sky.add_sun(sampling.instants(days, "a", "b", timeline.SCAN_MINUTES * sampling.MINUTE))
-    found = windows.rise_and_set(scan, ["id"], "instant", "altitude")
+    days = table(spark, sf_dir, "supplier").select(F.col(k).alias("id"), lat_of(k).alias("lat"), lon_of(k).alias("lon"), F.timestamp_micros(F.lit(DAY_START)).alias("start"), F.timestamp_micros(F.lit(DAY_END)).alias("end"))
+    found = passes.rises_and_sets(days, ["sun"], refined=False)
     second = lambda c: F.floor(F.unix_micros(c) / 1000000)
     return found.select("id", second("rise").alias("rise"), second("set").alias("set"))
 
@@ -674,11 +673,13 @@ def first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "newest_within",
-    """SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 9 DAY) WHERE rn <= 12""",
+    """SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events) - INTERVAL 9 DAY) WHERE rn <= 12""",
 )
 def newest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user the newest events of some days."""
-    e = table(spark, sf_dir, "events").where(F.col("ts") >= F.to_timestamp(F.lit("2024-01-30")) - F.expr("INTERVAL 9 DAYS"))
+    e = table(spark, sf_dir, "events")
+    newest = F.broadcast(e.agg(F.date_trunc("day", F.max("ts")).alias("_newest")))
+    e = e.join(newest, F.col("ts") >= F.col("_newest") - F.expr("INTERVAL 9 DAYS"))
     return ranking.top_per_key(e, ["user_id"], [F.desc("ts"), F.col("event_id")], 12).select("event_id", "user_id")
 
 
@@ -1049,7 +1050,8 @@ def latest_job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of cached answers of one version that have not expired."""
     o = table(spark, sf_dir, "orders")
-    now = F.lit(o.agg(F.max("o_orderdate")).first()[0]).cast("timestamp") - F.expr("INTERVAL 365 DAYS")
+    o = o.join(F.broadcast(o.agg(F.max("o_orderdate").alias("_newest"))))
+    now = F.col("_newest").cast("timestamp") - F.expr("INTERVAL 365 DAYS")
     key = store.request_key(F.struct(F.col("o_orderstatus").alias("a"), F.col("o_custkey").alias("b")))
     cache = o.select("o_orderkey", key.alias("key"), (F.col("o_orderstatus") == "O").cast("int").alias("version"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
     return store.fresh(cache, now, 1).select("o_orderkey", "key")
@@ -1057,12 +1059,13 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "prepared_searches",
-    """SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-04-15' - INTERVAL 90 DAY) WHERE rn <= 120""",
+    """SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events) - INTERVAL 90 DAY) WHERE rn <= 120""",
 )
 def prepared_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest prepared searches of every client."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("created_at"))
-    return ranking.newest_within(e, ["user_id"], "created_at", store.PREPARED_DAYS, F.lit("2024-04-15").cast("timestamp"), store.PREPARED).select("event_id", "user_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("client_id"), F.col("ts").alias("created_at"))
+    newest = F.broadcast(e.agg(F.date_trunc("day", F.max("created_at")).alias("now")))
+    return store.prepared(e.join(newest), F.col("now")).select(F.col("id").alias("event_id"), F.col("client_id").alias("user_id"))
 
 
 _CATEGORY = "CASE event_type WHEN 'click' THEN 'cache-hit' WHEN 'view' THEN 'network' WHEN 'error' THEN 'failed' ELSE 'shared' END"
