@@ -625,6 +625,62 @@ def test_shards_of_a_large_group(spark, part):
     assert len(counts) == -(-(rows // part) // quota)
 
 
+def plain_propagation(links, n_rows, count, rounds=40):
+    """Labels by moving one row at a time to the shard of most of its linked rows, under the same quotas; links are lists of rows."""
+    rows = sorted({r for members in links for r in members})
+    label = {r: k % count for k, r in enumerate(rows)}
+    own = {r: [m for m in links if r in m] for r in rows}
+    for _ in range(rounds):
+        moved = False
+        for r in rows:
+            held = [sum(label[x] == s for m in own[r] for x in m if x != r) for s in range(count)]
+            room = [sum(v == s for v in label.values()) < n_rows // count or s == label[r] for s in range(count)]
+            best = max(range(count), key=lambda s: (room[s], held[s], s == label[r]))
+            if held[best] > held[label[r]]:
+                label[r], moved = best, True
+        if not moved:
+            break
+    return label
+
+
+def cut_pairs(links, label):
+    return sum(label[a] != label[b] for m in links for k, a in enumerate(m) for b in m[k + 1 :])
+
+
+@pytest.mark.parametrize("share", [0.0, 0.33, 0.9])
+def test_shards_cut_few_links(spark, share):
+    n, count = 480, 16
+    big = int(n * share)
+    rng = random.Random(3)
+    links, at = ([list(range(big))] if big else []), big
+    while at < n - 20:
+        size = rng.choice([2, 3, 4, 7])
+        links.append(list(range(at, at + size)))
+        at += size
+    rows = [(r, k + 10) for k, m in enumerate(links) for r in m]
+    df = spark.createDataFrame(rows, "row long, link long")
+    label = {r.row: r.shard for r in shards.propagate(df, n).collect()}
+    assert len(label) == len(rows) and max(np.bincount(list(label.values()))) <= -(-n // count)
+    least = cut_pairs([list(range(big))], {r: r // (n // count) for r in range(big)}) if big else 0  # a large link fills as few shards as it needs
+    small = [m for m in links if len(m) < 10]
+    assert cut_pairs(links, label) <= plain_propagation_cut(links, n, count)
+    assert cut_pairs([links[0]], label) <= least * 1.1 if big else True
+    assert sum(len({label[r] for r in m}) > 1 for m in small) <= count  # about one at each border
+
+
+def plain_propagation_cut(links, n, count):
+    return cut_pairs(links, plain_propagation(links, n, count))
+
+
+def test_shards_query(spark):
+    rows = queries.op10_shards(spark, SF).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    sizes = np.bincount([r.shard for r in rows], minlength=16)
+    assert sizes.max() - sizes.min() <= 1
+    assert all((r.size, r.text_crc32) == (len(docs[r.doc_id].encode()) + 1, zlib.crc32(docs[r.doc_id].encode())) for r in rows)
+
+
 def test_pipeline_matches_its_stages(spark):
     import corpus_pipeline
 
