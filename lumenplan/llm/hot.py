@@ -26,7 +26,8 @@ def join_keys(rows: DataFrame, keys: DataFrame, key: str, total: int, most: int
     The sum of ``n`` must not exceed ``total``, so fewer than HOT_KEYS keys are hot.  A small table of
     keys is broadcast; of a larger one the hot keys are, and their rows stay where they are, while the
     rows of all other keys are shuffled: no task gets more than a small share of them by one key.
-    ``most`` is a bound of the number of keys, where one is known.  ``n`` is dropped; rows whose key is
+    ``most`` is a bound of the number of keys, where one is known; else the keys are saved first, so that
+    numbers that ``monotonically_increasing_id`` gives them hold.  ``n`` is dropped; rows whose key is
     null or unknown are left out.
     """
     if most is not None and most <= BROADCAST_KEYS:

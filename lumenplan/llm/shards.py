@@ -151,10 +151,12 @@ def propagate(links: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
 def assign(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Add ``shard`` and the gapless ``slot`` within it to ``rows``, which have a unique long ``row``.
 
-    ``links`` has a line ``(row, link)`` for each link of a row; a link of one row only says nothing.
+    ``links`` has a line ``(row, link)`` for each link of a row, a value of any type that can be grouped;
+    a link of one row only says nothing.
     """
     sizes = links.groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
-    linked = scratch.save(join_keys(links, sizes, "link", links.count()).select("row", "link"), "links")
+    numbered = sizes.withColumn("number", F.monotonically_increasing_id())  # join_keys saves it, so a link keeps its number
+    linked = scratch.save(join_keys(links, numbered, "link", links.count()).select("row", F.col("number").alias("link")), "links")
     n_rows = rows.count()
     labels = propagate(linked, n_rows, shards, rounds)
     sizes = _sizes(labels, shards)
@@ -170,7 +172,7 @@ def assign(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null).
 
-    Equal texts are linked; a null text has size 1 and counts as empty.  Repeated rows are rows of
+    Equal texts (by 128 bits and their size) are linked; a null text has size 1 and counts as empty.  Repeated rows are rows of
     their own, also with a null doc_id; with fewer rows than shards some shards stay empty; an empty
     table gives none; other columns are ignored.
     """
@@ -181,11 +183,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("link"),
+            F.unhex(F.md5(text.cast("binary"))).alias("digest"),
         ),
         "rows",
     )
-    linked = rows.select("row", F.xxhash64("link", "text_crc32", "size").alias("link"))
-    return assign(rows.drop("link"), linked, shards).select(
+    linked = rows.select("row", F.struct("digest", "size").alias("link"))
+    return assign(rows.drop("digest"), linked, shards).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -71,7 +71,8 @@ def _classes(vectors: DataFrame) -> DataFrame:
     )
     rows = vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", "label", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
     rows = rows.withColumn("same", F.struct("label", "vector"))
-    held = rows.groupBy("same").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumns({"class": F.xxhash64("same"), "n": F.col("weight")})
+    held = rows.groupBy("same").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("n", F.col("weight"))
+    held = held.withColumn("class", F.monotonically_increasing_id())  # join_keys saves it, so a class keeps its number
     return join_keys(rows, held, "same", rows.count()).drop("same").withColumn("dims", F.size("vector"))
 
 
