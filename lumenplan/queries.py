@@ -1116,4 +1116,4 @@ def feature_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("l_orderkey", features.centroid("points").alias("c")).select("l_orderkey", r6("c.x").alias("x"), r6("c.y").alias("y"))
 
 
-from . import area_queries, body_queries  # noqa: E402,F401  register their queries
+from . import area_queries, body_queries, record_queries  # noqa: E402,F401  register their queries

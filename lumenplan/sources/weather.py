@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.angles import finite
@@ -42,8 +42,9 @@ def climatology(samples: DataFrame) -> DataFrame:
     return samples.groupBy(F.month("time").alias("month"), F.hour("time").alias("hour")).agg(*[F.avg(c).alias(c) for c in FIELDS])
 
 
-def last_full_years(samples: DataFrame, now: datetime, years: int = 5) -> DataFrame:
-    return samples.where(F.year("time").between(now.year - years, now.year - 1))
+def last_full_years(samples: DataFrame, now: Column, years: int = 5) -> DataFrame:
+    """Samples of the full years before the one of ``now``."""
+    return samples.where(F.year("time").between(F.year(now) - years, F.year(now) - 1))
 
 
 def choose_source(mode: str, start: datetime, end: datetime, now: datetime) -> str:
