@@ -3,6 +3,7 @@
 import hashlib
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumenplan.llm import queries, shards, vector_dedup
+from lumenplan.llm import near_copies, queries, shards, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -136,3 +137,29 @@ def test_shards_take_links_of_any_type(spark):
     assert sorted(np.bincount(list(shard_of.values())).tolist()) == [10] * 4
     # eight groups of five on four shards of ten: none is cut
     assert all(len({shard_of[r] for r in shard_of if r % 8 == g}) == 1 for g in range(8))
+
+
+def similar_pairs(texts):
+    """All pairs of texts of different five-word sets whose Jaccard similarity is 0.8 or more, by the sets themselves."""
+    sets = {}
+    for i, t in texts.items():
+        words = t.encode().lower().split()
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    holders = {}
+    for i, s in sets.items():
+        for w in s:
+            holders.setdefault(w, []).append(i)
+    for i, s in sets.items():
+        common = Counter(j for w in s for j in holders[w] if j > i)
+        yield from ((i, j) for j, n in common.items() if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_copies_find_all_similar_pairs(spark, sf):
+    documents = queries.read(spark, f"/root/testdata/{sf}", "documents")
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    pairs = list(similar_pairs(texts))
+    component = {r.doc_id: r.component_id for r in near_copies.group(documents).collect()}
+    assert pairs and all(component[i] == component[j] for i, j in pairs)
+    partners = {i for p in pairs for i in p} | {i for i, t in texts.items() if not t.split()}
+    assert {i for i, c in component.items() if i != c} <= partners
