@@ -73,13 +73,16 @@ def first_bracket(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
 
 
 def minimal_band(df: DataFrame, keys: list[str], azimuth: str, padding: float = 3.0) -> DataFrame:
-    """The smallest arc per key that holds all azimuths, padded: the complement of the largest gap, the first of equal ones."""
+    """The smallest arc per key that holds all azimuths, padded: the complement of the largest gap, the first of equal ones.
+
+    Gaps that differ by less than a millionth of a degree are equal, as the differences of decimal azimuths are not exact.
+    """
     rows = df.withColumn("_a", F.pmod(F.col(azimuth), F.lit(360.0)))
     w = Window.partitionBy(*keys).orderBy("_a", F.monotonically_increasing_id())
     every = Window.partitionBy(*keys)
     low = F.min("_a").over(every)
     following = F.coalesce(F.lead("_a").over(w), low + 360)
-    gaps = rows.withColumn("_next", following).withColumn("_gap", following - F.col("_a"))
+    gaps = rows.withColumn("_next", following).withColumn("_gap", F.round(following - F.col("_a"), 6))
     best = first_per_key(gaps, keys, [F.desc("_gap"), F.col("_a")])
     return best.select(*keys, (F.pmod(F.col("_next"), F.lit(360.0)) - padding).alias("band_start"), (F.col("_a") + padding).alias("band_end"))
 
