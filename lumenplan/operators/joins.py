@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import col
@@ -14,21 +14,31 @@ from .ranking import first_per_key
 def nearest_in_time(left: DataFrame, right: DataFrame, time: str, right_time: str, tolerance_seconds: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Each left row with the right row nearest in time, at most ``tolerance_seconds`` off; of two as near the earlier.
 
-    An equi join on slots as long as the tolerance: a left row looks into its own and both neighbours,
-    so no row meets more than three slots.  Right columns are null where there is no match.
+    Times are cut into slots as long as the tolerance.  A slot holds its own rows, the last right row of the
+    slot before and the first of the slot after, as no other one can be nearest; in order of time each left
+    row sees the right row before and the one after it, so no pairs are made.  Right columns are null where
+    there is no match.
     """
-    slot = lambda c: F.floor(F.unix_micros(c) / F.lit(tolerance_seconds * 1_000_000))
+    width = tolerance_seconds * 1_000_000
+    slot = lambda c: F.floor(F.unix_micros(c) / F.lit(width))
     named = [c for c in right.columns if c not in keys]
-    shelves = right.select(*keys, F.struct(*named).alias("_match"), slot(F.col(right_time)).alias("_slot"), F.unix_micros(right_time).alias("_at"))
+    one = right.select(*keys, slot(F.col(right_time)).alias("_slot"), F.unix_micros(right_time).alias("_at"), F.struct(*named).alias("_match"))
+    one = one.where("_at is not null").groupBy(*keys, "_slot", "_at").agg(F.min("_match").alias("_match"))
+    ends = one.groupBy(*keys, "_slot").agg(F.min(F.struct("_at", "_match")).alias("_first"), F.max(F.struct("_at", "_match")).alias("_last"))
+    lent = F.explode(F.array(F.struct((F.col("_slot") - 1).alias("s"), F.col("_first").alias("m")), F.struct((F.col("_slot") + 1).alias("s"), F.col("_last").alias("m"))))
+    lent = ends.select(*keys, lent.alias("_e")).select(*keys, F.col("_e.s").alias("_slot"), "_e.m._at", "_e.m._match")
+    shelves = one.unionByName(lent).select(*keys, "_slot", "_at", F.struct("_at", "_match").alias("_m"), F.lit(None).cast("timestamp").alias(time))
     # the match depends on the keys and the time alone, so no row needs a number of its own
-    asks = left.select(*keys, time).distinct().withColumn("_t", F.unix_micros(time)).withColumn("_slot", F.explode(F.array(*[slot(F.col(time)) + k for k in (-1, 0, 1)])))
-    best = (
-        asks.join(shelves, [*keys, "_slot"])
-        .where(F.abs(F.col("_at") - F.col("_t")) <= tolerance_seconds * 1_000_000)
-        .groupBy(*keys, time)
-        .agg(F.min(F.struct(F.abs(F.col("_at") - F.col("_t")).alias("off"), F.col("_at").alias("at"), F.col("_match").alias("match"))).alias("best"))
-        .select(*keys, time, "best.match.*")
-    )
+    asks = left.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("timestamp").alias(time)).distinct()
+    asks = asks.select(*keys, slot(F.col(time)).alias("_slot"), F.unix_micros(time).alias("_at"), F.lit(None).cast(shelves.schema["_m"].dataType).alias("_m"), time)
+    w = Window.partitionBy(*keys, "_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = shelves.unionByName(asks)
+    # a right row of the same time comes first both ways
+    rows = rows.withColumn("_before", F.last("_m", True).over(w.orderBy(F.col("_at"), F.col("_m").isNull())))
+    rows = rows.withColumn("_after", F.last("_m", True).over(w.orderBy(F.desc("_at"), F.col("_m").isNull()))).where(F.col(time).isNotNull())
+    back, on = F.col("_at") - F.col("_before._at"), F.col("_after._at") - F.col("_at")
+    nearest = F.when((back <= width) & (on.isNull() | (back <= on)), F.col("_before._match")).when(on <= width, F.col("_after._match"))
+    best = rows.withColumn("_best", nearest).where("_best is not null").select(*keys, time, "_best.*")
     return left.join(best, [*keys, time], "left").select(*left.columns, *named)
 
 

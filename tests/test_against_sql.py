@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumenplan.queries import ORACLE_SQL, QUERIES
 
@@ -46,3 +47,20 @@ def test_the_closest_of_a_run_by_the_rank_of_the_sql(agree):
     rows = [event(0, value=100.51), event(20_000, value=100.5), event(20_001, value=300.0), event(20_002, value=1.0), event(20_003, value=200.0), event(20_004, value=199.0)]
     got = agree("inframe_islands", events=rows)
     assert sorted(got["closest"]) == [0, 20_004]
+
+
+def test_nearest_in_time_makes_no_pairs(agree, spark, tmp_path):
+    # slots' ends, ties, equal times and a gap longer than the tolerance
+    seconds = [0, 1, 1, 2700, 5399, 5400, 5401, 8100, 10800, 10800, 16200, 40000, 45400, 45401, 50801]
+    rows = [event(i, s, kind="a" if i % 3 == 0 else "b") for i, s in enumerate(seconds)]
+    rows += [event(100 + i, s, kind="a") for i, s in enumerate([0, 10800, 5400.5, 45399])] + [event(200 + i, 90 * i, kind="b") for i in range(300)]
+    agree("weather_asof_nearest", events=rows)
+
+
+def test_many_events_of_one_slot_are_not_paired(spark):
+    from lumenplan.operators import joins
+
+    at = lambda c: F.timestamp_micros(F.col("id") * c + 5_400_000_000)
+    left, right = spark.range(60_000).select("id", at(7).alias("t")), spark.range(60_000).select(F.col("id").alias("r"), at(7).alias("at"))
+    got = joins.nearest_in_time(left, right, "t", "at", 5400)
+    assert got.where("id = r").count() == 60_000  # as pairs 3.6 billion
