@@ -176,6 +176,12 @@ def ray_approach(points, azimuth) -> Column:
     return F.array_min(F.filter(measured, lambda m: m["along"] > 0))
 
 
+def point_approach(x, y, rx, ry) -> Column:
+    """As ``ray_approach`` for a feature of one point, given the sine and cosine of the ray's azimuth."""
+    along = col(x) * col(rx) + col(y) * col(ry)
+    return F.when(along > 0, F.struct(F.abs(col(x) * col(ry) - col(y) * col(rx)).alias("off"), along.alias("along")))
+
+
 def between_ends(length, bearing, distance, direction) -> Column:
     """True for a place between tripod and subject, given both as seen from the tripod in metres and degrees.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from math import floor, pi
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import col
 from ..functions.rasters import SIZE, SOURCES, source_allowed
 from .cells import in_cells, polygon_cells
-from .ranking import first_per_key
+from .lineage import cut, tasks
+from .ranking import first_per_key, top_per_key
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, time: str, right_time: str, tolerance_seconds: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -42,17 +45,117 @@ def nearest_in_time(left: DataFrame, right: DataFrame, time: str, right_time: st
     return left.join(best, [*keys, time], "left").select(*left.columns, *named)
 
 
-def within_radius(points: DataFrame, places: DataFrame, radius: float, x: str = "x", y: str = "y", px: str = "px", py: str = "py") -> DataFrame:
-    """Pairs of points and places at most ``radius`` apart on a plane, with ``distance``.
+def within_radius(points: DataFrame, places: DataFrame, radius: float, x: str = "x", y: str = "y", px: str = "px", py: str = "py", also: Column | None = None) -> DataFrame:
+    """Pairs of points and places at most ``radius`` apart on a plane, with ``distance``; only those that fulfil ``also``.
 
-    An equi join on square cells of that size: a point looks into nine cells.
+    An equi join on square cells of half that size: a place, of which there are fewer, stands in each cell
+    that its circle touches (21 to 25), a point in its own.  Pairs are many beside the rows, so the cells are dealt
+    over a number of tasks of their own.
+    """
+    size = radius / 2
+    cell = lambda c: F.floor(F.col(c) / F.lit(size))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+    cx, cy = F.col("_cx"), F.col("_cy")
+    off = lambda c, k: F.greatest(k * F.lit(size) - F.col(c), F.col(c) - (k + 1) * F.lit(size), F.lit(0.0))
+    touched = off(px, cx) * off(px, cx) + off(py, cy) * off(py, cy) <= radius * radius * (1 + 1e-9)
+    shelves = places.withColumn("_o", F.explode(around)).withColumn("_cx", cell(px) + F.col("_o.i")).withColumn("_cy", cell(py) + F.col("_o.j")).where(touched).drop("_o")
+    asks = points.withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
+    n = tasks(points)
+    dx, dy = F.col(px) - F.col(x), F.col(py) - F.col(y)
+    near = dx * dx + dy * dy <= radius * radius * (1 + 1e-9)  # spares most pairs the root
+    met = asks.repartition(n, "_cx", "_cy").join(shelves.repartition(n, "_cx", "_cy"), ["_cx", "_cy"]).where(near if also is None else near & also)
+    return met.drop("_cx", "_cy").withColumn("distance", F.hypot(dx, dy)).where(F.col("distance") <= radius)
+
+
+def _first_reach(places: DataFrame, radius: float, wanted: int, px: str, py: str) -> float:
+    """A whole number of metres within which a point meets about ``wanted`` places, ``radius`` at most."""
+    box = places.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in (px, py) for k, f in (("low", F.min), ("high", F.max))]).first()
+    if not box["n"] or box[f"low{px}"] is None or box[f"low{py}"] is None:
+        return radius
+    area = max(box[f"high{px}"] - box[f"low{px}"], 1.0) * max(box[f"high{py}"] - box[f"low{py}"], 1.0)
+    reach = radius
+    while reach > 16 and box["n"] * pi * reach * reach / area > wanted:
+        reach = float(floor(reach / 2))
+    return reach
+
+
+def nearest_places(points: DataFrame, places: DataFrame, key: str, place_key: str, radius: float, k: int, x: str = "x", y: str = "y", px: str = "px", py: str = "py") -> DataFrame:
+    """The ``k`` places nearest to each point by whole ``metres``, then ``place_key``, at most ``radius`` away, numbered from 1 in ``place``.
+
+    ``key`` tells points apart.  A first search reaches so far that a point meets a few times ``k``; points
+    with fewer are searched again twice as far, up to ``radius``.  So the pairs grow with the points,
+    however dense the places are.
+    """
+    reach, left, found = _first_reach(places, radius, 6 * k, px, py), points, []
+    while True:
+        last = reach >= radius
+        # all places of up to ``reach`` whole metres are less than half a metre beyond it
+        rows = within_radius(left, places, radius if last else min(radius, reach + 1), x, y, px, py).withColumn("metres", F.floor(F.col("distance") + 0.5))
+        top = top_per_key(rows if last else rows.where(F.col("metres") <= reach), [key], [F.col("metres"), F.col(place_key)], k)
+        if last and not found:
+            return top
+        top = cut(top)
+        if last:
+            found.append(top)
+            break
+        full = top.where(F.col("place") == k).select(key)
+        found.append(top.join(full, key, "left_semi"))
+        left = cut(left.join(full, key, "left_anti"))
+        reach = min(radius, reach * 2)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every
+
+
+def any_within(points: DataFrame, places: DataFrame, key: str, radius: float, x: str = "x", y: str = "y", px: str = "px", py: str = "py") -> DataFrame:
+    """The different ``key`` of points with any place at most ``radius`` away.
+
+    As ``nearest_places``: the first search reaches a few places, and only points without one are searched
+    again twice as far.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asks = points.withColumn("_o", F.explode(around)).withColumn("_cx", cell(x) + F.col("_o.i")).withColumn("_cy", cell(y) + F.col("_o.j")).drop("_o")
-    shelves = places.withColumn("_cx", cell(px)).withColumn("_cy", cell(py))
-    distance = F.hypot(F.col(px) - F.col(x), F.col(py) - F.col(y))
-    return asks.join(shelves, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", distance).where(F.col("distance") <= radius)
+    reach, left, found = _first_reach(places, radius, 6, px, py), points, []
+    while True:
+        hit = within_radius(left, places, reach, x, y, px, py).select(key).distinct()
+        if reach >= radius:
+            found.append(hit)
+            break
+        found.append(cut(hit))
+        left = cut(left.join(found[-1], key, "left_anti"))
+        reach = min(radius, reach * 2)
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every
+
+
+def near_flags(points: DataFrame, places: DataFrame, key: str, flags: dict[str, tuple[float, Column]]) -> DataFrame:
+    """Every point with flags that say whether a place of a kind (a predicate on ``places``) is within the flag's own radius; false for none."""
+    out = points
+    for name, (radius, kind) in flags.items():
+        hit = any_within(points, places.where(kind), key, radius).withColumn(name, F.lit(True))
+        out = out.join(hit, key, "left")
+    return out.select(*points.columns, *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in flags])
+
+
+#: Rings that one number can hold.
+RINGS = 63
+
+
+def rings(pairs: DataFrame, keys: list[str], ring: Column, kinds: dict[str, Column]) -> DataFrame:
+    """Per ``keys`` a number for each kind of pairs, whose bit k is set if any pair lies in ring k (0 to 62).
+
+    The different rings of a key are a few numbers whatever its pairs, so these are combined before the shuffle.
+    """
+    rows = pairs.withColumn("_ring", ring.cast("int"))
+    bit = F.when(F.col("_ring").between(0, RINGS - 1), F.expr("shiftleft(1L, _ring)")).otherwise(F.raise_error(F.lit("a ring beyond 62")).cast("long"))
+    return rows.withColumn("_bit", bit).groupBy(*keys).agg(*[F.coalesce(F.bit_or(F.when(c, F.col("_bit"))), F.lit(0).cast("long")).alias(n) for n, c in kinds.items()])
+
+
+def ring_rows(df: DataFrame, mask: str, out: str) -> DataFrame:
+    """A row for each ring that a number of ``rings`` holds."""
+    rows = df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(RINGS - 1))))
+    return rows.where(F.expr(f"shiftright(`{mask}`, `{out}`) & 1L = 1L")).withColumn(out, F.col(out).cast("long"))
 
 
 def site_flags(points: DataFrame, pairs: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:

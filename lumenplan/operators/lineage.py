@@ -19,3 +19,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenplan-"))
     return df.checkpoint(eager=True)
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks for work that is large beside its input's bytes: Spark deals by bytes and would give it a few."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over ``tasks``, before each becomes many rows or much work."""
+    return df.repartition(tasks(df))

@@ -64,3 +64,47 @@ def test_many_events_of_one_slot_are_not_paired(spark):
     left, right = spark.range(60_000).select("id", at(7).alias("t")), spark.range(60_000).select(F.col("id").alias("r"), at(7).alias("at"))
     got = joins.nearest_in_time(left, right, "t", "at", 5400)
     assert got.where("id = r").count() == 60_000  # as pairs 3.6 billion
+
+
+@pytest.fixture
+def plane():
+    """Customers and suppliers as dense on the queries' plane as in a gigabyte, by keys near a few of them."""
+    spot = lambda k: (k * 7919 % 100003, k * 104729 % 100019)
+    near = [k for k in range(400_000) if all(abs(a - 50_000) < 9_000 for a in spot(k))]
+    return {"customer": [{"c_custkey": k} for k in near[::97]], "supplier": [{"s_suppkey": k} for k in near[::9]] + [{"s_suppkey": k} for k in range(60)]}
+
+
+@pytest.mark.parametrize("name", ["ray_corridor", "nearby_topk", "site_flags", "landmark_anti_union"])
+def test_radius_queries_among_many_places(agree, plane, name):
+    agree(name, **plane)
+
+
+def test_pairs_are_dealt_over_tasks_of_their_own(spark):
+    from lumenplan.operators import joins, lineage
+
+    points = spark.range(400).selectExpr("id", "id % 20 * 500.0 AS x", "id div 20 * 500.0 AS y").coalesce(1)
+    pairs = joins.within_radius(points, points.selectExpr("id AS other", "x AS px", "y AS py").coalesce(1), 1000.0)
+    assert pairs.rdd.getNumPartitions() == lineage.tasks(points)  # Spark deals so few bytes to one
+    assert pairs.count() == sum((a % 20 - b % 20) ** 2 + (a // 20 - b // 20) ** 2 <= 4 for a in range(400) for b in range(400))
+
+
+def test_nearest_places_make_few_pairs(spark, monkeypatch):
+    from lumenplan.operators import joins
+
+    made = []
+    within = joins.within_radius
+    monkeypatch.setattr(joins, "within_radius", lambda *a, **k: made.append(within(*a, **k)) or made[-1])
+    points = spark.range(300).selectExpr("id", "id * 13 % 100 * 100.0 AS x", "id * 29 % 100 * 100.0 AS y")
+    places = spark.range(20_000).selectExpr("id AS p", "id * 7919 % 9973 * 1.0 AS px", "id * 4441 % 9967 * 1.0 AS py")
+    far = spark.createDataFrame([(-1, 19000.0, 5000.0), (-2, 50000.0, 5000.0)], "id long, x double, y double")
+    top = joins.nearest_places(points.union(far), places, "id", "p", 10000.0, 3)
+    got = [(r.id, r.place, r.metres, r.p) for r in top.orderBy("id", "place").collect()]
+    assert sum(m.where("id >= 0").count() for m in made) < 300 * 200  # of six million at most
+    p = [(r.p, r.px, r.py) for r in places.collect()]
+    expected = []
+    for q in points.union(far).orderBy("id").collect():
+        own = sorted((int(((a - q.x) ** 2 + (b - q.y) ** 2) ** 0.5 + 0.5), k) for k, a, b in p if (a - q.x) ** 2 + (b - q.y) ** 2 <= 1e8)
+        expected += [(q.id, i + 1, m, k) for i, (m, k) in enumerate(own[:3])]
+    assert got == expected
+    met = {r.id for r in joins.any_within(points.union(far), places, "id", 10000.0).collect()}
+    assert met == {*range(300), -1}
