@@ -69,7 +69,7 @@ def within_radius(points: DataFrame, places: DataFrame, radius: float, x: str =
 
 def _first_reach(places: DataFrame, radius: float, wanted: int, px: str, py: str) -> float:
     """A whole number of metres within which a point meets about ``wanted`` places, ``radius`` at most."""
-    box = places.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in (px, py) for k, f in (("low", F.min), ("high", F.max))]).first()
+    box = places.agg(F.count("*").alias("n"), *[f(F.col(c).cast("double")).alias(f"{k}{c}") for c in (px, py) for k, f in (("low", F.min), ("high", F.max))]).first()
     if not box["n"] or box[f"low{px}"] is None or box[f"low{py}"] is None:
         return radius
     area = max(box[f"high{px}"] - box[f"low{px}"], 1.0) * max(box[f"high{py}"] - box[f"low{py}"], 1.0)

@@ -94,8 +94,8 @@ def test_nearest_places_make_few_pairs(spark, monkeypatch):
     made = []
     within = joins.within_radius
     monkeypatch.setattr(joins, "within_radius", lambda *a, **k: made.append(within(*a, **k)) or made[-1])
-    points = spark.range(300).selectExpr("id", "id * 13 % 100 * 100.0 AS x", "id * 29 % 100 * 100.0 AS y")
-    places = spark.range(20_000).selectExpr("id AS p", "id * 7919 % 9973 * 1.0 AS px", "id * 4441 % 9967 * 1.0 AS py")
+    points = spark.range(300).selectExpr("id", "id * 13 % 100 * 100D AS x", "id * 29 % 100 * 100D AS y")
+    places = spark.range(20_000).selectExpr("id AS p", "id * 7919 % 9973 * 1D AS px", "id * 4441 % 9967 * 1D AS py")
     far = spark.createDataFrame([(-1, 19000.0, 5000.0), (-2, 50000.0, 5000.0)], "id long, x double, y double")
     top = joins.nearest_places(points.union(far), places, "id", "p", 10000.0, 3)
     got = [(r.id, r.place, r.metres, r.p) for r in top.orderBy("id", "place").collect()]
