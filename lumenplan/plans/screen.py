@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import optics, sky
 from ..functions.angles import clamp
+from ..operators.lineage import spread
 from ..operators.windows import islands
 
 BODIES = ("sun", "moon", "milkyWay", "polaris")
@@ -58,17 +59,19 @@ def visible_segments(track: DataFrame, keys: list[str], least_altitude: float =
 
 
 def milky_way_path(rows: DataFrame, azimuth: Column, altitude: Column, h_fov: Column, v_fov: Column, step: int = 5) -> DataFrame:
-    """The band every ``step`` degrees of galactic longitude for rows (key, instant, lat, lon): middle and edges on the screen."""
-    at = rows.withColumn("longitude", F.explode(F.transform(F.sequence(F.lit(0), F.lit(360), F.lit(max(5, step))), lambda v: v.cast("double"))))
-    half = sky.band_half_width(F.col("longitude"))
-    edges = F.array(*[F.struct(F.lit(n).alias("part"), b.alias("latitude")) for n, b in (("centre", F.lit(0.0)), ("upper", half), ("lower", -half))])
-    at = at.withColumn("_e", F.explode(edges)).select("*", "_e.part", "_e.latitude").drop("_e")
-    at = at.withColumn("_q", sky.galactic_equatorial("longitude", "latitude"))
-    at = at.withColumn("_n", sky.days_since_j2000("instant")).withColumn("_h", sky.to_horizon(F.col("_q.ra"), F.col("_q.dec"), "_n", F.col("lat"), F.col("lon")))
-    at = at.withColumn("_p", optics.project(optics.direction(F.col("_h.azimuth"), F.col("_h.altitude")), optics.camera(azimuth, altitude), h_fov, v_fov))
-    near = F.col("_p.x").between(-15, 115) & F.col("_p.y").between(-15, 115)
-    return at.groupBy("key", "longitude").agg(
-        F.max(F.when(F.col("part") == "centre", F.col("_h.altitude"))).alias("altitude"),
-        *[F.max(F.when(F.col("part") == p, F.col(f"_p.{c}"))).alias(f"{p}_{c}") for p in ("centre", "upper", "lower") for c in ("x", "y")],
-        F.bool_or(near).alias("near"),
-    ).withColumn("visible", F.coalesce(F.col("near") & (F.col("altitude") > -8), F.lit(False))).drop("near")
+    """The band every ``step`` degrees of galactic longitude for rows (key, instant, lat, lon), one a key: middle and edges on the screen.
+
+    The three places of a longitude stand in one row, so nothing is grouped or held.
+    """
+    at = spread(rows).withColumn("longitude", F.explode(F.transform(F.sequence(F.lit(0), F.lit(360), F.lit(max(5, step))), lambda v: v.cast("double"))))
+    at = at.withColumn("_n", sky.days_since_j2000("instant")).withColumn("_half", sky.band_half_width(F.col("longitude")))
+    parts = {"centre": F.lit(0.0), "upper": F.col("_half"), "lower": -F.col("_half")}
+    at = at.withColumns({f"_q_{p}": sky.galactic_equatorial("longitude", v) for p, v in parts.items()})
+    at = at.withColumns({f"_h_{p}": sky.to_horizon(F.col(f"_q_{p}.ra"), F.col(f"_q_{p}.dec"), "_n", F.col("lat"), F.col("lon")) for p in parts})
+    at = at.withColumns({f"_p_{p}": optics.project(optics.direction(F.col(f"_h_{p}.azimuth"), F.col(f"_h_{p}.altitude")), optics.camera(azimuth, altitude), h_fov, v_fov) for p in parts})
+    near = lambda p: F.coalesce(F.col(f"_p_{p}.x").between(-15, 115) & F.col(f"_p_{p}.y").between(-15, 115), F.lit(False))
+    seen = (near("centre") | near("upper") | near("lower")) & (F.col("_h_centre.altitude") > -8)
+    return at.select(
+        "key", "longitude", F.col("_h_centre.altitude").alias("altitude"), *[F.col(f"_p_{p}.{c}").alias(f"{p}_{c}") for p in parts for c in ("x", "y")],
+        F.coalesce(seen, F.lit(False)).alias("visible"),
+    )
