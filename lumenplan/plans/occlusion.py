@@ -25,6 +25,14 @@ def highest(profile: DataFrame, keys: list[str], elevation: str = "elevation", o
     ).select(*keys, F.coalesce(f"top.{elevation}", F.lit(NOTHING)).alias(elevation), f"top.{order}", *[f"top.{k}" for k in keep])
 
 
+def highest_in(points: Column) -> Column:
+    """As ``highest`` for a profile that stands in one row: of an array of (elevation, idx, distance) the highest, the first of equal ones."""
+    known = F.filter(points, lambda p: p["elevation"].isNotNull() & ~F.isnan(p["elevation"]))
+    top = F.array_max(F.transform(known, lambda p: F.struct(p["elevation"].alias("elevation"), (-p["idx"]).alias("_o"), p["idx"].alias("idx"), p["distance"].alias("distance"))))
+    none = F.struct(F.lit(NOTHING).alias("elevation"), F.lit(None).cast("int").alias("_o"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("distance"))
+    return F.coalesce(top, none)
+
+
 def profile(rays: DataFrame, distances: Column) -> DataFrame:
     """Points along rays (key, lat, lon, azimuth): idx, distance and place."""
     rows = rays.select("*", F.posexplode(distances).alias("idx", "distance"))
