@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .angles import col
+from .angles import col, let
 
 NUMBER = r"-?[0-9]{1,3}(?:\.[0-9]+)?"
 #: Coordinate patterns of map links, tried in this order.
@@ -124,7 +124,10 @@ def share_decode(code) -> Column:
     """The payload of a share code; null for a broken one, another version, or places out of range."""
     c = F.translate(col(code), "-_", "+/")
     raw = F.try_to_binary(F.rpad(c, (F.ceil(F.length(c) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
-    p = F.from_json(F.decode(raw, "UTF-8"), SHARE_SCHEMA)
+    return let(F.from_json(F.decode(raw, "UTF-8"), SHARE_SCHEMA), _valid_share)  # parsed once
+
+
+def _valid_share(p: Column) -> Column:
     inside = lambda q: p[q]["latitude"].between(-90, 90) & p[q]["longitude"].between(-180, 180) & p[q]["label"].isNotNull()
     complete = p["name"].isNotNull() & p["zone"].isNotNull() & p["shooting"].isNotNull() & p["focal_mm"].isNotNull() & p["lens_m"].isNotNull()
     return F.when((p["v"] == 1) & inside("subject") & inside("tripod") & complete, p)
