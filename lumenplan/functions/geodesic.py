@@ -70,26 +70,29 @@ def inverse(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
     f_high = np.where(f_high <= 0, np.pi - target, f_high)
     alpha = (low + high) / 2
     last = np.zeros(len(target), int)
+    # meridians and the equator are known below; of the others each is left as soon as it is found
+    meridian = target == 0
+    equator = level & (target <= (1 - FLATTENING) * np.pi)
+    left = np.flatnonzero(~meridian & ~equator)
     for k in range(100):
-        width = high - low
-        if (width <= 2e-16).all():
+        left = left[high[left] - low[left] > 2e-16]
+        if not len(left):
             break
-        cut = (low * f_high - high * f_low) / np.where(f_high == f_low, 1, f_high - f_low)
-        alpha = np.where((k % 3 == 2) | (cut <= low) | (cut >= high) | ~np.isfinite(cut), (low + high) / 2, cut)
-        f = _arrive(alpha, b1, b2)[0] - target
+        lo, hi, fl, fh, side = low[left], high[left], f_low[left], f_high[left], last[left]
+        cut = (lo * fh - hi * fl) / np.where(fh == fl, 1, fh - fl)
+        at = np.where((k % 3 == 2) | (cut <= lo) | (cut >= hi) | ~np.isfinite(cut), (lo + hi) / 2, cut)
+        f = _arrive(at, b1[left], b2[left])[0] - target[left]
         up = f > 0
         # where one end stays, halve its weight (Illinois)
-        f_low = np.where(up, np.where(last == 1, f_low / 2, f_low), f)
-        f_high = np.where(up, f, np.where(last == -1, f_high / 2, f_high))
-        high, low = np.where(up, alpha, high), np.where(up, low, alpha)
-        last = np.where(up, 1, -1)
+        f_low[left] = np.where(up, np.where(side == 1, fl / 2, fl), f)
+        f_high[left] = np.where(up, f, np.where(side == -1, fh / 2, fh))
+        last[left] = np.where(up, 1, -1)
         done = f == 0
-        low, high = np.where(done, alpha, low), np.where(done, alpha, high)
-    meridian = target == 0
+        alpha[left] = at
+        high[left], low[left] = np.where(up | done, at, hi), np.where(up & ~done, lo, at)
     alpha = np.where(meridian, 0.0, alpha)
     _, alpha2, s1, s2, k2 = _arrive(alpha, b1, b2)
     distance = _length(k2, s1, s2)
-    equator = level & (target <= (1 - FLATTENING) * np.pi)
     distance = np.where(equator, SEMI_MAJOR * target, distance)
     alpha, alpha2 = np.where(equator, np.pi / 2, alpha), np.where(equator, np.pi / 2, alpha2)
     # undo the exchange: seen from the other end the geodesic runs back, which mirrors north and south
@@ -110,8 +113,13 @@ def direct(lat1, lon1, azimuth, distance) -> tuple[np.ndarray, np.ndarray]:
     s1 = np.arctan2(np.sin(b1), np.cos(a) * np.cos(b1))
     w1 = np.arctan2(sin0 * np.sin(s1), np.cos(s1))
     s2 = s1 + distance / _B
+    left = np.arange(len(s2))
     for _ in range(8):
-        s2 = s2 - (_length(k2, s1, s2) - distance) / (_B * np.sqrt(1 + k2 * np.sin(s2) ** 2))
+        step = (_length(k2[left], s1[left], s2[left]) - distance[left]) / (_B * np.sqrt(1 + k2[left] * np.sin(s2[left]) ** 2))
+        s2[left] -= step
+        left = left[~(np.abs(step) < 1e-12)]  # the next step would be its square
+        if not len(left):
+            break
     b2 = np.arctan2(cos0 * np.sin(s2), np.hypot(cos0 * np.cos(s2), sin0))
     w2 = np.arctan2(sin0 * np.sin(s2), np.cos(s2))
     turns = np.where(sin0 >= 0, 1, -1) * ((s2 - s1) - (np.arctan2(np.sin(s2), np.cos(s2)) - np.arctan2(np.sin(s1), np.cos(s1))))
