@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features
+from ..functions.angles import let
 from ..functions.earth import local_metres
 from ..functions.text import literal_place, nfkc, title_score
 from ..operators.cells import cells_around, line_cells
 from ..operators.joins import in_polygon, ocean_zone, unmatched
+from ..operators.lineage import cut, spread
 from ..operators.ranking import first_per_key, top_per_key
 
 ELEMENT_SCHEMA = (
@@ -33,12 +35,14 @@ def with_bounds(elements: DataFrame) -> DataFrame:
     """Elements with one geometry column and their bounds, which scans can be pruned by."""
     point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array(F.struct("lat", "lon")))
     shape = F.coalesce(F.filter("geometry", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull()), point, F.when(F.col("center").isNotNull(), F.array("center")))
-    rows = elements.withColumn("geometry", shape).where(F.size("geometry") > 0)
-    bound = lambda f, k: f(F.transform("geometry", lambda p: p[k]))
-    return rows.select(
-        "type", "id", "geometry", "tags", bound(F.array_min, "lat").alias("south"), bound(F.array_max, "lat").alias("north"),
-        bound(F.array_min, "lon").alias("west"), bound(F.array_max, "lon").alias("east"),
-    )
+    bound = lambda f, g, k: f(F.transform(g, lambda p: p[k]))
+    # each outline is made once; as the only row of an explode it is not made again for the test and the bounds
+    whole = let(shape, lambda g: F.struct(
+        g.alias("geometry"), bound(F.array_min, g, "lat").alias("south"), bound(F.array_max, g, "lat").alias("north"),
+        bound(F.array_min, g, "lon").alias("west"), bound(F.array_max, g, "lon").alias("east"),
+    ))
+    rows = elements.select("type", "id", "tags", F.explode(F.filter(F.array(whole), lambda w: F.size(w["geometry"]) > 0)).alias("_w"))
+    return rows.select("type", "id", "_w.geometry", "tags", "_w.south", "_w.north", "_w.west", "_w.east")
 
 
 def relevant(elements: DataFrame) -> DataFrame:
@@ -92,16 +96,31 @@ def near_points(points: DataFrame, elements: DataFrame, radius: float, key: str
 
     Distances are taken by segment and combined per element before the shuffle; areas contain a point by
     their cells.  Only where an area contains a point and no edge is near, its whole outline is measured.
+    Different places are met with different outlines, which a digest of 128 bits tells apart; what is found
+    is then given to all points of a place and all elements of an outline.
     """
+    held = points.select(key, "lat", "lon").where("lat is not null and lon is not null")
+    asked = held.select(F.struct("lat", "lon").alias(key), "lat", "lon").distinct()
+    digest = let("geometry", lambda g: F.struct(g.alias("g"), F.xxhash64(g).alias("a"), F.xxhash64(F.lit(1), g).alias("b")))
+    marked = elements.withColumn("_w", F.explode(F.array(digest)))  # an outline that is computed is so once for both
+    marked = marked.withColumn("geometry", F.col("_w.g")).withColumn("_s", F.struct("_w.a", "_w.b")).drop("_w")
+    shapes = spread(marked.select("_s", "geometry").distinct().select(F.col("_s.a").alias("type"), F.col("_s.b").alias("id"), "geometry"))
+    found = _near_shapes(asked, cut(shapes), radius, key)
+    found = found.select(F.col(f"{key}.lat").alias("lat"), F.col(f"{key}.lon").alias("lon"), F.struct(F.col("type").alias("a"), F.col("id").alias("b")).alias("_s"), "distance", "inside")
+    return held.join(found, ["lat", "lon"]).drop("lat", "lon").join(marked.drop("geometry"), "_s").drop("_s")
+
+
+def _near_shapes(points: DataFrame, elements: DataFrame, radius: float, key: str) -> DataFrame:
+    """key, type, id, distance and inside for different points and different outlines."""
     near = near_segments(points, elements, radius, key).groupBy(key, "type", "id").agg(F.min("distance").alias("distance"))
     closed = (F.size("geometry") >= 4) & (F.element_at("geometry", 1) == F.element_at("geometry", -1))
     areas = elements.where(closed).select("type", "id", F.col("geometry").alias("ring"))
     around = in_polygon(points.select(key, "lat", "lon"), areas, "lat", "lon").select(key, "type", "id", F.lit(True).alias("inside"))
     found = near.join(around, [key, "type", "id"], "full").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    named = found.where("distance IS NOT NULL").join(elements, ["type", "id"])
+    named = found.where("distance IS NOT NULL")
     deep = found.where("distance IS NULL").drop("distance").join(elements, ["type", "id"]).join(points.select(key, F.col("lat").alias("plat"), F.col("lon").alias("plon")), key)
     local = F.transform("geometry", lambda p: local_metres(p["lat"], p["lon"], F.col("plat"), F.col("plon")))
-    return named.unionByName(deep.withColumn("distance", features.distance_to(local)).drop("plat", "plon")).drop("geometry")
+    return named.unionByName(deep.withColumn("distance", features.distance_to(local)).drop("plat", "plon", "geometry"))
 
 
 def site_contexts(points: DataFrame, elements: DataFrame, key: str = "key") -> DataFrame:

@@ -8,6 +8,7 @@ from lumenplan.functions import geodesic
 from lumenplan.operators import lineage
 from lumenplan.plans import occlusion
 from lumenplan.queries import QUERIES
+from lumenplan.sources import places
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +56,14 @@ def test_geodesics_leave_rows_that_are_found(monkeypatch):
     seen.clear()
     geodesic.direct(np.full(n, 30.0), lon, azimuth, distance)
     assert sum(k for f, k in seen if f == "_length") <= 5 * n
+
+
+def test_equal_places_and_outlines_are_met_once(spark, monkeypatch):
+    seen = []
+    within = places.near_segments
+    monkeypatch.setattr(places, "near_segments", lambda p, e, *a: seen.append((p.count(), e.count())) or within(p, e, *a))
+    points = spark.range(40).selectExpr("id AS key", "35D + id % 2 AS lat", "135D AS lon")
+    ways = spark.range(60).selectExpr("'way' AS type", "id", "array(struct(35D + id % 3 AS lat, 134.99D AS lon), struct(35D + id % 3 AS lat, 135.01D AS lon)) AS geometry")
+    found = places.near_points(points, ways, 100.0).collect()
+    assert seen == [(2, 3)]
+    assert {(r.key, r.id) for r in found} == {(k, w) for k in range(40) for w in range(60) if k % 2 == w % 3} and len(found) == 800
