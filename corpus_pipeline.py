@@ -13,6 +13,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts are scored as documents without words; repeated rows stay or go together;
     without labels all stay; an empty table gives none; columns may have any names.
     """
+    scratch.small_batches(spark)
     return quality.keep_good(docs, queries.read(spark, sf_dir, "labels"))
 
 
@@ -22,6 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that repeat doc_id and text one stays; texts without words are one group; rows without
     doc_id stay; an empty table gives none; columns may have any names.
     """
+    scratch.small_batches(spark)
     return near_copies.keep_first(docs)
 
 
@@ -31,6 +33,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts, and rows without doc_id, stay; repeated rows of a doc_id go together; an
     empty table gives none; columns may have any names.
     """
+    scratch.small_batches(spark)
     return decontam.keep_clean(docs, queries.read(spark, sf_dir, "benchmark"))
 
 
@@ -49,6 +52,7 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is encoded as the empty one; repeated rows give repeated rows; an empty table gives
     none; other columns are ignored.
     """
+    scratch.small_batches(spark)
     return bpe.round_trip(docs, queries.vocabulary_path())
 
 

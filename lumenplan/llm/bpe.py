@@ -246,7 +246,11 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of Arrow batches that hold about BATCH_BYTES of text, with the texts."""
+    """Slices of Arrow batches that hold about BATCH_BYTES of text, with the texts.
+
+    At the end Arrow's free memory is given back, as the worker lives on for other tasks.
+    """
+    batch = texts = part = None
     for batch in batches:
         texts = batch.column(column)
         size = texts.nbytes
@@ -254,6 +258,8 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tup
         for k in range(0, batch.num_rows, step):
             part = batch.slice(k, step)
             yield part, part.column(column).to_pylist()
+    del batch, texts, part
+    pa.default_memory_pool().release_unused()
 
 
 def encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting of the rows of an Arrow batch, and the number it has by itself.
+BATCH_ROWS, DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
@@ -41,6 +44,12 @@ def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows for this session, unless it names a number: Spark and a worker hold several whole batches of texts."""
+    if spark.conf.get(BATCH_ROWS, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(BATCH_ROWS, "2000")
+
+
 def drop(table: DataFrame) -> None:
     """Delete the files of a table made by ``save`` that nothing reads any more."""
     spark = table.sparkSession

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenplan.llm import bpe, decontam, graph, hot, html_text, near_copies, pii, quality, queries, shards, simhash, token_files, urls, vector_dedup
+from lumenplan.llm import bpe, decontam, graph, hot, html_text, near_copies, pii, quality, queries, scratch, shards, simhash, token_files, urls, vector_dedup
 
 SF = "/root/testdata/sf0.001"
 PATH = queries.vocabulary_path()
@@ -694,3 +694,14 @@ def test_pipeline_matches_its_stages(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == ids
     assert not any(re.search(r"@mail\d", r.text) for r in docs.select("text").where(F.col("text").isNotNull()).collect())
+
+
+def test_arrow_batches_of_the_pipeline_are_small(spark):
+    key, before = scratch.BATCH_ROWS, spark.conf.get(scratch.BATCH_ROWS)
+    try:
+        for named, expected in (("10000", "2000"), ("300", "300")):
+            spark.conf.set(key, named)
+            scratch.small_batches(spark)
+            assert spark.conf.get(key) == expected
+    finally:
+        spark.conf.set(key, before)
