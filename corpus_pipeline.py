@@ -21,7 +21,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies, the one with the smallest doc_id.
 
     Of rows that repeat doc_id and text one stays; texts without words are one group; rows without
-    doc_id stay; an empty table gives none; columns may have any names.
+    doc_id stay; an empty table gives none; columns may have any names.  Texts that op8's SimHash
+    links are compared, and further ones beside it; their exact similarity decides.
     """
     scratch.small_batches(spark)
     return near_copies.keep_first(docs)

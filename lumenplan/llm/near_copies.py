@@ -1,6 +1,10 @@
-"""Groups of near copies: bands of MinHash values over five-word shingles propose, the share of equal values filters.
+"""Groups of near copies: SimHash fingerprints and bands of MinHash values propose, the exact similarity decides.
 
-A text is the set of its different five-word shingles.  For each of ``BANDS * ROWS`` hash functions
+Texts whose SimHash fingerprints (``simhash``, with its words, bits and blocks) differ in two bits at most are linked,
+as that operator links them.  Two bits see only copies with few edits, so texts that are further apart are proposed
+beside it by MinHash values over five-word shingles.
+
+For these a text is the set of its different five-word shingles.  For each of ``BANDS * ROWS`` hash functions
 it keeps the least value over the set, which two texts have in common with the chance of their
 Jaccard similarity, wherever the edits are and however long the texts.  Texts that agree in all values
 of one of ``BANDS`` bands are compared by the share of equal values.  A pair of similarity 0.8 meets in
@@ -27,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import scratch
+from . import scratch, simhash
 from .bpe import text_batches
 from .graph import connected_components, name_components
-from .hot import join_keys, looked_up
+from .hot import add_least, join_keys, looked_up
 from .simhash import CHUNK, SEED
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -113,10 +117,10 @@ def text_hash() -> Column:
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id, ``hash`` (of the text), ``same`` (a digest of the set of shingles), ``bands`` (a key each), ``values`` (the low byte of each least value) and ``size`` (of the set)."""
+    """doc_id, ``hash`` (of the text), ``same`` (a digest of the set of shingles), ``bands`` (a key each), ``values`` (the low byte of each least value), ``size`` (of the set) and ``fp`` (the SimHash fingerprint)."""
     names = ["same", "bands", "values"]
     rows = df.select("doc_id", "text", text_hash().alias("hash"))
-    fields = [rows.schema["doc_id"], rows.schema["hash"], *(T.StructField(n, T.BinaryType()) for n in names), T.StructField("size", T.LongType())]
+    fields = [rows.schema["doc_id"], rows.schema["hash"], *(T.StructField(n, T.BinaryType()) for n in names), *(T.StructField(n, T.LongType()) for n in ("size", "fp"))]
 
     def run(batches):
         hashes = _Hashes()
@@ -128,9 +132,10 @@ def fingerprints(df: DataFrame) -> DataFrame:
                 [k.tobytes() for k in _band_keys(values).astype("<u8")],
                 [v.tobytes() for v in values.astype(np.uint8)],
             ]
+            bits = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("hash"), *(pa.array(c, pa.binary()) for c in columns), pa.array([len(s) for s in sets], pa.int64())],
-                ["doc_id", "hash", *names, "size"],
+                [part.column("doc_id"), part.column("hash"), *(pa.array(c, pa.binary()) for c in columns), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits)],
+                ["doc_id", "hash", *names, "size", "fp"],
             )
 
     return rows.mapInArrow(run, T.StructType(fields))
@@ -250,6 +255,19 @@ def edges(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return _connect(shared, lambda groups: groups.join(held, "node"), searcher)
 
 
+def simhash_edges(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges ``(left, right)`` that connect all classes whose texts ``simhash`` links.
+
+    ``marks`` has ``same`` and ``fp`` of every row, ``classes`` each ``same``'s ``node`` and its number of rows ``n``.
+    A class may have several fingerprints, as words that are repeated count in them, and a fingerprint several classes.
+    """
+    held = join_keys(marks.select("same", "fp").distinct(), classes.select("same", "node", "n"), "same", marks.count())
+    held = scratch.save(held.select("fp", "node"), "held")
+    first = scratch.save(held.groupBy("fp").agg(F.min("node").alias("node")), "first")
+    equal = add_least(held, "fp", "node", "first", held.count()).where("node != first")
+    return equal.select(F.col("node").alias("left"), F.col("first").alias("right")).unionByName(simhash.links(first))
+
+
 def linked(texts: list[str | None], hashes: _Hashes, similarity: float = SIMILARITY) -> np.ndarray:
     """``connected`` over the exact Jaccard similarity of the texts' sets of shingles."""
     sets = [shingles_of(t, hashes) for t in texts]
@@ -299,7 +317,7 @@ def _grouped(df: DataFrame, similarity: float) -> DataFrame:
     made = marks.groupBy("same", "bands", "values", "size").agg(first.alias("first"), F.count("*").alias("n"))
     classes = scratch.save(made.withColumn("node", F.monotonically_increasing_id()), "classes")  # once saved, a class keeps its number
     usable = classes.where("first is not null")
-    proposed = connected_components(edges(usable, similarity), "left", "right")
+    proposed = connected_components(simhash_edges(marks, usable).unionByName(edges(usable, similarity)), "left", "right")
     named = name_components(usable, confirmed(df, usable, proposed, similarity), "node", "first", "kept").select("same", "kept", "n")
     nameless = classes.where("first is null").select("same", F.lit(None).cast(named.schema["kept"].dataType).alias("kept"), "n")
     return join_keys(marks, named.unionByName(nameless), "same", marks.count()).select("doc_id", "hash", "kept")

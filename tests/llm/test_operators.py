@@ -696,6 +696,27 @@ def test_pipeline_matches_its_stages(spark):
     assert not any(re.search(r"@mail\d", r.text) for r in docs.select("text").where(F.col("text").isNotNull()).collect())
 
 
+def test_near_copies_are_linked_by_simhash(spark, monkeypatch):
+    """What op8 links is compared without any band; equal fingerprints of texts that are not similar drop nothing."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    fp = simhash.fingerprint
+    rows = []
+    while len(rows) < 12:
+        words = [f"w{rng.randrange(3000)}" for _ in range(1500)]
+        pair = " ".join(words), " ".join([*words[:700], "edit", *words[701:]])
+        if 1 <= (fp(pair[0]) ^ fp(pair[1])).bit_count() <= 2:
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    rows.append((12, rows[0][1]))
+    refrain = "seven words of a line that returns " * 400
+    rows += [(20 + k, refrain + " ".join(f"own{k}x{j}" for j in range(30))) for k in range(2)]
+    assert (fp(rows[-1][1]) ^ fp(rows[-2][1])).bit_count() <= 2
+    monkeypatch.setattr(near_copies, "edges", lambda classes, *_: classes.selectExpr("node AS left", "node AS right").limit(0))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6, 8, 10, 20, 21]
+
+
 def test_arrow_batches_of_the_pipeline_are_small(spark):
     key, before = scratch.BATCH_ROWS, spark.conf.get(scratch.BATCH_ROWS)
     try:
